@@ -73,8 +73,9 @@ def maintainability(total_lines: Column, complexity: Column, duplication: Column
     return F.greatest(F.lit(100) - length_cost - complexity_cost - duplication_cost, F.lit(0))
 
 
-def is_def(line: Column) -> Column:
-    return F.regexp_extract(line, fv.DEF_NAME_PATTERN, 1) != ""
+def def_name(line: Column) -> Column:
+    """Name after a leading ``def``, else ''. The byte search spares most lines the pattern."""
+    return F.when(F.contains(line, F.lit("def")), F.regexp_extract(line, fv.DEF_NAME_PATTERN, 1)).otherwise("")
 
 
 def indent(line: Column) -> Column:
@@ -92,7 +93,7 @@ def function_definitions(line_array: Column) -> Column:
         F.transform(
             line_array,
             lambda line, pos: F.struct(
-                F.regexp_extract(line, fv.DEF_NAME_PATTERN, 1).alias("name"),
+                def_name(line).alias("name"),
                 pos.alias("pos"),
                 indent(line).alias("indent"),
             ),

@@ -34,16 +34,34 @@ def _says(message: str) -> Callable[[Column], Column]:
     return lambda line: F.lit(message)
 
 
-def _matches_any(patterns: Sequence[str]) -> Callable[[Column], Column]:
-    return lambda line: reduce(lambda a, b: a | b, [line.rlike(p) for p in patterns])
+def _matches_any(patterns: Sequence[str], needs: str = "") -> Callable[[Column], Column]:
+    """Any pattern matches. ``needs`` is a text every match contains: a byte search for it comes first."""
+
+    def condition(line: Column) -> Column:
+        matched = reduce(lambda a, b: a | b, [line.rlike(p) for p in patterns])
+        return F.contains(line, F.lit(needs)) & matched if needs else matched
+
+    return condition
+
+
+def _is_markup_write(line: Column) -> Column:
+    assignment, write, evaluate = fv.XSS_PATTERNS
+    return reduce(
+        lambda a, b: a | b,
+        [
+            _matches_any([assignment], needs="innerHTML")(line),
+            _matches_any([write], needs="write(")(line),
+            _matches_any([evaluate], needs="eval(")(line),
+        ],
+    )
 
 
 SECURITY_RULES = [
-    LineRule("security.sql_injection", "sql_injection", "high", _matches_any(fv.SQL_INJECTION_PATTERNS),
+    LineRule("security.sql_injection", "sql_injection", "high", _matches_any(fv.SQL_INJECTION_PATTERNS, needs="+"),
              _says("Possible SQL injection"), "Use parameterised statements"),
-    LineRule("security.xss", "xss", "medium", _matches_any(fv.XSS_PATTERNS),
+    LineRule("security.xss", "xss", "medium", _is_markup_write,
              _says("Possible cross-site scripting"), "Avoid writing unescaped markup or evaluating text"),
-    LineRule("security.sensitive_data", "sensitive_data", "critical", _matches_any(fv.SENSITIVE_DATA_PATTERNS),
+    LineRule("security.sensitive_data", "sensitive_data", "critical", _matches_any(fv.SENSITIVE_DATA_PATTERNS, needs="="),
              _says("Possible hard-coded secret"), "Load secrets from a protected store"),
 ]
 SECURITY_FAMILIES = [rule.issue_type for rule in SECURITY_RULES]
@@ -61,14 +79,14 @@ PYTHON_RULES = [
     ),
     LineRule(
         "python.return_type", "typing", "low",
-        lambda line: line.rlike(fv.UNTYPED_DEF_PATTERN) & ~F.contains(line, F.lit("->")),
+        lambda line: _matches_any([fv.UNTYPED_DEF_PATTERN], needs="def")(line) & ~F.contains(line, F.lit("->")),
         _says("Missing return type annotation"),
         "Add return type annotation for better code documentation", ("python",),
     ),
 ]
 SCRIPT_RULES = [
     LineRule(
-        "script.var", "style", "medium", lambda line: line.rlike(fv.VAR_PATTERN),
+        "script.var", "style", "medium", _matches_any([fv.VAR_PATTERN], needs="var"),
         _says("Use 'let' or 'const' instead of 'var'"),
         "Replace 'var' with 'let' or 'const' for better scoping", ("javascript", "typescript"),
     ),
@@ -248,10 +266,10 @@ def best_practice_issues(files: DataFrame) -> DataFrame:
     )
 
     def name(line: Column) -> Column:
-        return F.regexp_extract(line, fv.DEF_NAME_PATTERN, 1)
+        return tx.def_name(line)
 
     line_rules = [
-        LineRule(f"{lang}.unwanted.{word}", "", "", _matches_any([rf"(^|[^\p{{L}}\p{{N}}_]){word}{fv.SPACE}+"]),
+        LineRule(f"{lang}.unwanted.{word}", "", "", _matches_any([rf"(^|[^\p{{L}}\p{{N}}_]){word}{fv.SPACE}+"], needs=word),
                  _says(f"Avoid: {word}"), "", (lang,))
         for lang, words in fv.UNWANTED_WORDS.items() for word in words
     ]
