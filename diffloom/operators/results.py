@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.session import checkpointed
+
 ISSUES_PER_PART = 500
 PARTS_PER_PAGE = 200
+BROADCAST_ROWS = 50_000  # oversized groups sent to every task: a few megabytes
 
 
 def gate_completed(tasks: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,69 +42,107 @@ def _bucket(value: Column, buckets: Column) -> Column:
     return (head % buckets).cast("bigint")
 
 
-def file_parts(files: DataFrame, issues: DataFrame, per_part: int = ISSUES_PER_PART) -> DataFrame:
-    """Files with their issues nested, about ``per_part`` issues per row at most.
+def _with_pieces(rows: DataFrame, oversized: DataFrame, count: int, keys: list[str], name: str) -> DataFrame:
+    """Adds in how many pieces a group is cut: the value in ``oversized``, else 1.
+
+    ``count`` is the number of oversized groups. Usually there are none, and then
+    no join is made; a few are broadcast; many are left to a shuffled join, whose
+    hot keys Spark splits because a shuffle of its own follows.
+    """
+    if count == 0:
+        return rows.withColumn(name, F.lit(1).cast("bigint"))
+    side = F.broadcast(oversized) if count <= BROADCAST_ROWS else oversized
+    return rows.join(side, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
+def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, issues: DataFrame,
+                     summary: DataFrame, per_part: int = ISSUES_PER_PART, per_page: int = PARTS_PER_PAGE) -> DataFrame:
+    """The served document of every task that passed the gate.
+
+    A file nests about ``per_part`` issues at most; one with more comes in several
+    parts. A page nests about ``per_page`` file parts at most. Files without issues
+    keep an empty list; issues without a file appear only in the totals.
 
-    ``files`` has id and pr_analysis_id; ``issues`` has id, pr_analysis_id and
-    file_analysis_id. Files without issues keep an empty list. Issues without a
-    file belong to no file and appear only in totals.
+    Tasks, files and issues meet in one shuffle by (analysis, page): both nesting
+    steps and the join with the task reuse that partitioning.
     """
+    review, file_key = "pr_analysis_id", ["pr_analysis_id", "file_analysis_id"]
     linked = issues.filter(F.col("file_analysis_id").isNotNull())
-    sizes = linked.groupBy("pr_analysis_id", "file_analysis_id").agg(
-        F.ceil(F.count(F.lit(1)) / per_part).cast("bigint").alias("parts")
+    owned = files.withColumnRenamed("id", "file_analysis_id")
+
+    large_files = checkpointed(
+        linked.groupBy(*file_key).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("bigint").alias("parts"))
+        .filter(F.col("parts") > 1)
     )
-    shape = F.struct(
-        F.col("id"), F.col("issue_type").alias("type"), F.col("severity"), F.col("line_number"),
-        F.col("column_number"), F.col("description"), F.col("suggestion"), F.col("rule_id"), F.col("confidence"),
+    n_large_files = large_files.count()
+    units = owned.groupBy(review).agg(F.count(F.lit(1)).alias("n"))
+    if n_large_files:
+        more = large_files.groupBy(review).agg(F.sum(F.col("parts") - 1).alias("n"))
+        units = units.unionByName(more).groupBy(review).agg(F.sum("n").alias("n"))
+    large_reviews = checkpointed(
+        units.select(review, F.ceil(F.col("n") / per_page).cast("bigint").alias("pages")).filter(F.col("pages") > 1)
+    )
+    n_large_reviews = large_reviews.count()
+
+    def in_parts(rows: DataFrame) -> DataFrame:
+        return _with_pieces(rows, large_files, n_large_files, file_key, "parts")
+
+    def in_pages(rows: DataFrame) -> DataFrame:
+        return _with_pieces(rows, large_reviews, n_large_reviews, [review], "pages")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        key = F.concat_ws("#", F.col("file_analysis_id").cast("string"), F.col("part").cast("string"))
+        return in_pages(rows).withColumn("page", F.when(F.col("pages") == 1, 0).otherwise(_bucket(key, F.col("pages"))))
+
+    part_of_issue = F.when(F.col("parts") == 1, 0).otherwise(_bucket(F.col("id").cast("string"), F.col("parts")))
+    issue_rows = placed(in_parts(linked).withColumn("part", part_of_issue)).select(
+        *file_key, "part", "page",
+        F.struct(
+            "id", F.col("issue_type").alias("type"), "severity", "line_number", "column_number", "description",
+            "suggestion", "rule_id", "confidence",
+        ).alias("issue"),
     )
-    nested = (
-        linked.join(sizes, ["pr_analysis_id", "file_analysis_id"])
-        .withColumn("part", _bucket(F.col("id"), F.col("parts")))
-        # Its own shuffle: a hot file leaves the (skew-split) join and is spread by part.
-        .repartition("pr_analysis_id", "file_analysis_id", "part")
-        .groupBy("pr_analysis_id", "file_analysis_id", "part")
-        .agg(F.array_sort(F.collect_list(shape)).alias("issues"))
+    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    file_rows = placed(in_parts(owned).withColumn("part", every_part)).select(
+        *file_key, "part", "page",
+        F.struct(
+            "file_path", F.col("file_type").alias("language"),
+            F.coalesce("lines_added", F.lit(0)).alias("lines_added"),
+            F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"),
+            "complexity_score",
+        ).alias("file"),
     )
-    header = files.select(
-        "pr_analysis_id", F.col("id").alias("file_analysis_id"), "file_path",
-        F.col("file_type").alias("language"),
-        F.coalesce("lines_added", F.lit(0)).alias("lines_added"),
-        F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"),
-        "complexity_score",
+    task_rows = in_pages(_task_heads(served, analyses, summary)).select(
+        review, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1)).alias("page"),
+        F.struct("head", "pages").alias("task"),
     )
-    issue_list = nested.schema["issues"].dataType.simpleString()
-    return header.join(nested, ["pr_analysis_id", "file_analysis_id"], "left").withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0)),
-            "issues": F.coalesce("issues", F.array().cast(issue_list)),
-        }
+    together = issue_rows.unionByName(file_rows, allowMissingColumns=True).unionByName(
+        task_rows, allowMissingColumns=True
     )
-
-
-def result_pages(parts: DataFrame, per_page: int = PARTS_PER_PAGE) -> DataFrame:
-    """Pages of a result document: (pr_analysis_id, page, pages, files)."""
-    sizes = parts.groupBy("pr_analysis_id").agg(
-        F.ceil(F.count(F.lit(1)) / per_page).cast("bigint").alias("pages")
+    per_file = (
+        together.repartition(review, "page")
+        .groupBy(review, "page", "file_analysis_id", "part")
+        .agg(
+            F.first("task", ignorenulls=True).alias("task"),
+            F.first("file", ignorenulls=True).alias("file"),
+            F.array_sort(F.collect_list("issue")).alias("issues"),
+        )
     )
-    shape = F.struct(
-        F.col("file_analysis_id").alias("id"), F.col("part"), F.col("file_path"), F.col("language"),
-        F.col("lines_added"), F.col("lines_removed"), F.col("complexity_score"), F.col("issues"),
+    document = F.when(
+        F.col("file").isNotNull(),
+        F.struct(F.col("file_analysis_id").alias("id"), "part", "file.*", "issues"),
     )
-    key = F.concat_ws("#", "file_analysis_id", "part")
     return (
-        parts.join(sizes, "pr_analysis_id")
-        .withColumn("page", _bucket(key, F.col("pages")))
-        .repartition("pr_analysis_id", "page")
-        .groupBy("pr_analysis_id", "page", "pages")
-        .agg(F.array_sort(F.collect_list(shape)).alias("files"))
+        per_file.groupBy(review, "page")
+        .agg(F.first("task", ignorenulls=True).alias("task"), F.array_sort(F.collect_list(document)).alias("files"))
+        .filter(F.col("task").isNotNull())
+        .select("task.head.*", "page", "task.pages", "files")
     )
 
 
-def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, issues: DataFrame,
-                     summary: DataFrame) -> DataFrame:
-    """The served document of every task that passed the gate; large ones on several pages."""
-    pages = result_pages(file_parts(files, issues))
-    head = served.select(
+def _task_heads(served: DataFrame, analyses: DataFrame, summary: DataFrame) -> DataFrame:
+    """pr_analysis_id and ``head``: the part of a document that is not about single files."""
+    tasks = served.select(
         F.col("id").alias("task_id"), F.col("repo_url").alias("github_repo"), "pr_number",
         F.coalesce("started_at", "created_at").alias("analysis_started_at"),
         F.col("completed_at").alias("analysis_completed_at"),
@@ -110,15 +151,14 @@ def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, i
         F.col("id").alias("pr_analysis_id"), "task_id", "status",
         F.struct("recommendations", "pr_url", "base_branch", "head_branch").alias("metadata"),
     )
-    totals = summary.select("pr_analysis_id", F.struct(*[c for c in summary.columns if c != "pr_analysis_id"]).alias("summary"))
-    empty_files = F.array().cast(pages.schema["files"].dataType.simpleString())
-    return (
-        head.join(facts, "task_id").join(totals, "pr_analysis_id", "left").join(pages, "pr_analysis_id", "left")
-        .withColumns(
-            {
-                "page": F.coalesce("page", F.lit(0)),
-                "pages": F.coalesce("pages", F.lit(1)),
-                "files": F.coalesce("files", empty_files),
-            }
-        )
+    totals = summary.select(
+        "pr_analysis_id", F.struct(*[c for c in summary.columns if c != "pr_analysis_id"]).alias("summary")
+    )
+    joined = tasks.join(facts, "task_id").join(totals, "pr_analysis_id", "left")
+    return joined.select(
+        "pr_analysis_id",
+        F.struct(
+            "task_id", "status", "github_repo", "pr_number", "analysis_started_at", "analysis_completed_at",
+            "summary", "metadata",
+        ).alias("head"),
     )

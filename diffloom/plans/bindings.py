@@ -96,6 +96,10 @@ def patched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_files(spark, sf_dir).withColumn("patch", patch)
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 def _line_item_id() -> Column:
     return F.md5(
         F.concat_ws(
@@ -117,7 +121,7 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     file_key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(
+    return line_items(spark, sf_dir).select(
         _line_item_id().alias("issue_id"),
         F.col("l_orderkey").alias("pr_id"),
         F.when(part % 20 != 0, file_key).alias("file_id"),
@@ -138,7 +142,7 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored file rows: one per (order, supplier)."""
-    items = table(spark, sf_dir, "lineitem")
+    items = line_items(spark, sf_dir)
     flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
     grouped = items.groupBy("l_orderkey", "l_suppkey").agg(
         F.sum(F.when(flag == "A", quantity)).cast("bigint").alias("lines_added"),

@@ -577,7 +577,7 @@ def e03_cosine(spark, sf):
 def e04_similar_code(spark, sf):
     corpus = embedding.embed(b.documents(spark, sf), text="text").select("doc_id", "embedding")
     targets = embedding.embed(b.table(spark, sf, "benchmark"), text="text").select("item_id", "embedding")
-    return similarity.find_similar(targets, corpus, "item_id", "doc_id")
+    return similarity.find_similar(targets, corpus, "item_id", "doc_id", threshold=0.4)
 
 
 @query

@@ -554,7 +554,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 pairs AS (SELECT (t.k - 1) // 2 AS item_id, c.k // 2 AS doc_id, round(sum(t.w * c.w), 6) AS score
           FROM weights t JOIN weights c USING (bucket) WHERE t.k % 2 = 1 AND c.k % 2 = 0 GROUP BY ALL)
 SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score >= 0.7)
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score >= 0.4)
 WHERE rank <= 5""",
     "e05_duplicate_pairs": """
 , groups AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS v, count(*) AS n FROM embeddings GROUP BY embedding)
