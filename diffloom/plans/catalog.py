@@ -353,7 +353,13 @@ def t02_nonblank_lines(spark, sf):
 
 @query
 def t03_code_text(spark, sf):
-    return b.code_files(spark, sf).select("file_id", tx.code_text(tx.lines(F.col("content"))).alias("code_text"))
+    """The operator's text with its limit, and length and hash of the whole text."""
+    content = tx.lines(F.col("content"))
+    whole = tx.code_text(content, limit=None)
+    return b.code_files(spark, sf).select(
+        "file_id", F.length(whole).alias("n_chars"), F.sha2(whole, 256).alias("text_hash"),
+        tx.code_text(content).alias("code_text"),
+    )
 
 
 @query
@@ -908,10 +914,9 @@ def x01b_extractor_similarity(spark, sf):
 
 
 @query
-def x02_bounded_model(spark, sf):
-    """A model that reads 512 characters: the limit belongs to the model."""
+def x02_embedding_model(spark, sf):
     embedder = embedding.model_embedder(_load_example_model)
-    return _weights(embedding.embed(b.files(spark, sf), embedder=embedder, limit=fv.CODE_TEXT_LIMIT), "file_id")
+    return _weights(embedding.embed(b.files(spark, sf), embedder=embedder), "file_id")
 
 
 @query

@@ -298,19 +298,20 @@ def _prompt_facts(prompt: str) -> str:
     return f"SELECT file_id, length(p)::INTEGER AS n_chars, sha256(p) AS prompt_hash FROM (SELECT file_id, {prompt} AS p FROM code_files)"
 
 
-def _embedding(rows: str, key: str, limit: int | None = None) -> str:
+def _embedding(rows: str, key: str) -> str:
     """Word-hash weights per (key, bucket) of a source with key and text columns."""
-    body = "text" if limit is None else f"substr(text, 1, {limit})"
     return f"""
   hashed AS (SELECT {key}, {bucket('w')} AS bucket, count(*) AS n FROM (
-      SELECT {key}, unnest(regexp_split_to_array(lower({body}), '{SPACE}+')) AS w FROM {rows}) WHERE w <> '' GROUP BY ALL),
+      SELECT {key}, unnest(regexp_split_to_array(lower(text), '{SPACE}+')) AS w FROM {rows}) WHERE w <> '' GROUP BY ALL),
   weights AS (SELECT {key}, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS w FROM hashed)"""
 
 
-BLOCK_PAIRS = f""",
+def _block_pairs(blocks: str) -> str:
+    """Similar pairs and metrics per file of a source with file_id, block_no and block."""
+    return f""",
 block_words AS (
   SELECT file_id, block_no, {bucket('w')} AS bucket, count(*)::BIGINT AS n FROM (
-    SELECT file_id, block_no, unnest(regexp_split_to_array(lower(block), '{SPACE}+')) AS w FROM blocks)
+    SELECT file_id, block_no, unnest(regexp_split_to_array(lower(block), '{SPACE}+')) AS w FROM {blocks})
   WHERE w <> '' GROUP BY ALL),
 block_norms AS (SELECT file_id, block_no, sum(n * n)::BIGINT AS q FROM block_words GROUP BY ALL),
 block_pairs AS (
@@ -324,10 +325,13 @@ block_pairs AS (
 block_metrics AS (
   SELECT file_id, total_blocks, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(mean, 0.0) AS mean,
          least(1.0, coalesce(n, 0) / greatest(1.0, total_blocks * (total_blocks - 1) / 2.0)) AS share
-  FROM (SELECT f.file_id, count(b.block_no) AS total_blocks FROM code_files f LEFT JOIN blocks b USING (file_id) GROUP BY ALL)
+  FROM (SELECT f.file_id, count(b.block_no) AS total_blocks FROM files_v f LEFT JOIN {blocks} b USING (file_id) GROUP BY ALL)
   LEFT JOIN (SELECT file_id, count(*) AS n, max(score) AS best, avg(score) AS mean FROM block_pairs GROUP BY ALL) USING (file_id))
 """
 
+BLOCK_PAIRS = _block_pairs("blocks")
+PARAGRAPHS = "(SELECT file_id, (line_no - 1)::INTEGER AS block_no, raw AS block FROM file_lines WHERE raw <> '')"
+
 SERVED = """
 served_summary AS (
   SELECT a.id AS pr_analysis_id, coalesce(nullif(a.total_files, 0), f.n, 0) AS total_files,
@@ -468,8 +472,8 @@ FROM files_v f LEFT JOIN (SELECT * FROM plain_metrics SEMI JOIN (SELECT doc_id A
 SELECT file_id, count(*)::INTEGER AS n, sha256(string_agg({strip('line')}, {NL} ORDER BY line_no)) AS lines_hash
 FROM code_lines WHERE {strip('line')} <> '' GROUP BY file_id""",
     "t03_code_text": f"""
-SELECT file_id, substr(string_agg({strip('line')}, ' ' ORDER BY line_no), 1, 512) AS code_text
-FROM code_lines WHERE {strip('line')} <> '' GROUP BY file_id""",
+SELECT file_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_hash, substr(t, 1, 512) AS code_text
+FROM (SELECT file_id, string_agg({strip('line')}, ' ' ORDER BY line_no) AS t FROM code_lines WHERE {strip('line')} <> '' GROUP BY file_id)""",
     "t04_keyword_complexity": "SELECT file_id, complexity FROM metrics",
     "t05_duplicate_line_ratio": "SELECT file_id, round(duplication, 9) AS duplication FROM plain_metrics",
     "t06_maintainability": "SELECT file_id, maintainability AS maintainability_score FROM metrics",
@@ -688,9 +692,10 @@ FROM documents""",
     "x01_block_extractor": f"""
 SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY line_no) - 1)::INTEGER AS block_no, raw AS block
 FROM file_lines WHERE raw <> ''""",
-    "x02_bounded_model": f"""
-, squeezed AS (SELECT file_id, string_agg({strip('raw')}, ' ' ORDER BY line_no) AS text FROM file_lines WHERE {strip('raw')} <> '' GROUP BY file_id),
-{_embedding("squeezed", "file_id", limit=512)}
+    "x01b_extractor_similarity": _block_pairs(PARAGRAPHS) + """
+SELECT file_id, total_blocks, n AS duplicates_found, best AS max_similarity FROM block_metrics""",
+    "x02_embedding_model": f"""
+, {_embedding("(SELECT doc_id AS file_id, text FROM documents)", "file_id")}
 SELECT file_id, bucket, round(w, 6) AS weight FROM weights""",
     "x03_reviewer": f"""
 SELECT file_id, 'xss' AS type, 'high' AS severity, 'm' AS message, length({SECURITY_PROMPT})::INTEGER AS line FROM code_files""",

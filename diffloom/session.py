@@ -22,6 +22,11 @@ def build_session(app_name: str = "diffloom", master: str | None = None, **conf:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Checkpoint files go away with the data frames that made them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Task state beyond executor memory lives on disk.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
