@@ -77,6 +77,46 @@ SSH_REPO_PATTERN = r"^git@github\.com:([\p{L}\p{N}_\-\.]+)/([\p{L}\p{N}_\-\.]+)\
 REPO_HOST = "github.com"
 SNAKE_CASE_PATTERN = r"^[a-z_][a-z0-9_]*$"
 
+# --- fixed values: findings, as rule -> (type, severity, message, suggestion) ----
+LINT_TEXTS = {
+    "python.line_length": (
+        "style", "low", "Line too long ({length} > 88 characters)", "Break long lines for better readability",
+    ),
+    "python.return_type": (
+        "typing", "low", "Missing return type annotation",
+        "Add return type annotation for better code documentation",
+    ),
+    "script.var": (
+        "style", "medium", "Use 'let' or 'const' instead of 'var'",
+        "Replace 'var' with 'let' or 'const' for better scoping",
+    ),
+    "script.console_log": (
+        "style", "low", "Remove console.log statements", "Use proper logging library instead of console.log",
+    ),
+}
+
+# --- fixed values: suggestions, as (type, priority, message, suggestion) ---------
+WILDCARD_IMPORT = ("import", "medium", "Avoid wildcard imports", "Use explicit imports for better code clarity")
+BARE_EXCEPT = (
+    "exception_handling", "high", "Use specific exception types",
+    "Catch specific exceptions instead of bare except clauses",
+)
+LOOSE_EQUALITY = ("comparison", "medium", "Use strict equality", "Use '===' instead of '==' for strict comparison")
+LONG_FUNCTION = (
+    "refactoring", "medium", "Function '{name}' is too long ({length} lines)",
+    "Consider breaking large functions into smaller, focused functions",
+)
+
+# --- fixed values: review summary -------------------------------------------------
+DEFAULT_AVERAGE = 75.0
+EXCELLENT_FROM, GOOD_FROM, REFACTOR_BELOW = 85, 75, 70
+LARGE_PR_FILES = 20
+ADVISE_CRITICAL = "Address {count} critical security issues immediately"
+ADVISE_REFACTORING = "Consider refactoring to improve code quality"
+ADVISE_SPLITTING = "Large PR - consider breaking into smaller changes"
+ADVISE_NOTHING = "Code looks good! Consider adding tests if not present"
+ANALYSIS_TOOLS = ["ai_agent", "code_analyzer"]
+
 # --- fixed values: language rules -----------------------------------------------
 LINE_LIMITS = {"python": 88, "javascript": 100, "typescript": 100}
 WANTED_IMPORTS = {"python": ["typing", "logging"]}

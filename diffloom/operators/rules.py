@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,35 +67,31 @@ SECURITY_RULES = [
 ]
 SECURITY_FAMILIES = [rule.issue_type for rule in SECURITY_RULES]
 
-# Texts of the lint findings.
+def _filled(template: str, **values: Column) -> Column:
+    """A text with its named gaps filled from columns."""
+    pieces = []
+    for literal, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(literal)] + ([values[name].cast("string")] if name else [])
+    return F.concat(*pieces)
+
+
+def _lint(rule_id: str, condition: Callable[[Column], Column], *languages: str) -> LineRule:
+    kind, severity, message, suggestion = fv.LINT_TEXTS[rule_id]
+    return LineRule(rule_id, kind, severity, condition, lambda line: _filled(message, length=F.length(line)),
+                    suggestion, languages)
+
+
 PYTHON_RULES = [
-    LineRule(
-        "python.line_length", "style", "low",
-        lambda line: F.length(line) > fv.LINE_LIMITS["python"],
-        lambda line: F.concat(
-            F.lit("Line too long ("), F.length(line).cast("string"),
-            F.lit(f" > {fv.LINE_LIMITS['python']} characters)"),
-        ),
-        "Break long lines for better readability", ("python",),
-    ),
-    LineRule(
-        "python.return_type", "typing", "low",
+    _lint("python.line_length", lambda line: F.length(line) > fv.LINE_LIMITS["python"], "python"),
+    _lint(
+        "python.return_type",
         lambda line: _matches_any([fv.UNTYPED_DEF_PATTERN], needs="def")(line) & ~F.contains(line, F.lit("->")),
-        _says("Missing return type annotation"),
-        "Add return type annotation for better code documentation", ("python",),
+        "python",
     ),
 ]
 SCRIPT_RULES = [
-    LineRule(
-        "script.var", "style", "medium", _matches_any([fv.VAR_PATTERN], needs="var"),
-        _says("Use 'let' or 'const' instead of 'var'"),
-        "Replace 'var' with 'let' or 'const' for better scoping", ("javascript", "typescript"),
-    ),
-    LineRule(
-        "script.console_log", "style", "low", lambda line: F.contains(line, F.lit("console.log")),
-        _says("Remove console.log statements"),
-        "Use proper logging library instead of console.log", ("javascript", "typescript"),
-    ),
+    _lint("script.var", _matches_any([fv.VAR_PATTERN], needs="var"), "javascript", "typescript"),
+    _lint("script.console_log", lambda line: F.contains(line, F.lit("console.log")), "javascript", "typescript"),
 ]
 LINT_RULES = PYTHON_RULES + SCRIPT_RULES
 
@@ -159,43 +156,31 @@ def language_lint(files: DataFrame) -> DataFrame:
     return scan_lines(files, LINT_RULES)
 
 
-def _suggestion(kind: str, priority: str, message: str | Column, suggestion: str) -> Column:
-    said = F.lit(message) if isinstance(message, str) else message
+def _suggestion(texts: tuple[str, str, str, str], **values: Column) -> Column:
+    kind, priority, message, suggestion = texts
     return F.struct(
         F.lit(kind).alias("type"),
         F.lit(priority).alias("priority"),
-        said.alias("message"),
+        _filled(message, **values).alias("message"),
         F.lit(suggestion).alias("suggestion"),
     )
 
 
 def python_suggestions(content: Column) -> Column:
+    def has(text: str) -> Column:
+        return F.contains(content, F.lit(text))
+
     return F.array_compact(
         F.array(
-            F.when(
-                F.contains(content, F.lit("import *")),
-                _suggestion("import", "medium", "Avoid wildcard imports",
-                            "Use explicit imports for better code clarity"),
-            ),
-            F.when(
-                F.contains(content, F.lit("except:")) & ~F.contains(content, F.lit("except Exception:")),
-                _suggestion("exception_handling", "high", "Use specific exception types",
-                            "Catch specific exceptions instead of bare except clauses"),
-            ),
+            F.when(has("import *"), _suggestion(fv.WILDCARD_IMPORT)),
+            F.when(has("except:") & ~has("except Exception:"), _suggestion(fv.BARE_EXCEPT)),
         )
     )
 
 
 def script_suggestions(content: Column) -> Column:
-    return F.array_compact(
-        F.array(
-            F.when(
-                F.contains(content, F.lit("==")) & ~F.contains(content, F.lit("===")),
-                _suggestion("comparison", "medium", "Use strict equality",
-                            "Use '===' instead of '==' for strict comparison"),
-            )
-        )
-    )
+    loose, strict = F.contains(content, F.lit("==")), F.contains(content, F.lit("==="))
+    return F.array_compact(F.array(F.when(loose & ~strict, _suggestion(fv.LOOSE_EQUALITY))))
 
 
 def with_functions(files: DataFrame) -> DataFrame:
@@ -225,15 +210,9 @@ def function_table(files: DataFrame) -> DataFrame:
 
 def long_function_suggestions(functions: DataFrame) -> DataFrame:
     """A refactoring suggestion per function over the limit."""
-    message = F.concat(
-        F.lit("Function '"), F.col("function_name"), F.lit("' is too long ("),
-        F.col("length").cast("string"), F.lit(" lines)"),
-    )
+    said = _suggestion(fv.LONG_FUNCTION, name=F.col("function_name"), length=F.col("length"))
     return functions.filter(F.col("length") > fv.MAX_FUNCTION_LINES).select(
-        "file_id",
-        "function_name",
-        _suggestion("refactoring", "medium", message,
-                    "Consider breaking large functions into smaller, focused functions").alias("s"),
+        "file_id", "function_name", said.alias("s")
     ).select("file_id", "function_name", "s.*")
 
 
@@ -254,7 +233,8 @@ def best_practice_issues(files: DataFrame) -> DataFrame:
     for lang, names in fv.WANTED_IMPORTS.items():
         for name in names:
             pattern = rf"(^|\n){fv.SPACE}*(import|from){fv.SPACE}+{name}($|[^\p{{L}}\p{{N}}_])"
-            checks.append(file_check(lang, f"import.{name}", ~content.rlike(pattern), f"Missing import: {name}"))
+            found = F.contains(content, F.lit(name)) & content.rlike(pattern)
+            checks.append(file_check(lang, f"import.{name}", ~found, f"Missing import: {name}"))
     for lang, words in fv.WANTED_WORDS.items():
         for word in words:
             checks.append(file_check(lang, f"wanted.{word}", ~F.contains(content, F.lit(word)),

@@ -140,6 +140,24 @@ def s06_result_sink(spark, sf):
     )
 
 
+@query
+def s06b_review_run(spark, sf):
+    """A whole review, stored twice under one run id and read back: rows and issues per analysis."""
+    base = scratch_path(spark, "review")
+    files = b.code_files(spark, sf)
+    tasks = files.select("pr_id").distinct().select(
+        F.col("pr_id").cast("string").alias("id"), "pr_id",
+        F.timestamp_seconds(F.lit(0)).alias("started_at"), F.timestamp_seconds(F.lit(60)).alias("completed_at"),
+    )
+    tables = review.result_tables(files, tasks)
+    for _ in range(2):
+        store.write_run(tables, base, "run-1")
+    return store.read_current(spark, base, "pr_analyses").select(
+        F.col("task_id").cast("bigint").alias("pr_id"), "total_files_analyzed", "total_issues_found", "critical_issues",
+        "total_lines_analyzed", "high_issues", "medium_issues", "low_issues", "quality_score",
+    )
+
+
 @query
 def s07_cascade_delete(spark, sf):
     tasks = b.tasks(spark, sf)

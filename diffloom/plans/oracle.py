@@ -400,6 +400,11 @@ FROM patched""",
 SELECT id, CASE status WHEN 'processing' THEN 'completed' ELSE status END AS status,
        CASE status WHEN 'processing' THEN 100 ELSE 30 END AS progress,
        epoch_us(CASE status WHEN 'processing' THEN created_at + to_minutes(5) ELSE completed_at END) AS completed_us FROM tasks""",
+    "s06b_review_run": """
+SELECT pr_id, count(*) AS total_files_analyzed, sum(n)::BIGINT AS total_issues_found, sum(critical)::BIGINT AS critical_issues,
+       sum(code_lines)::BIGINT AS total_lines_analyzed, sum(high)::BIGINT AS high_issues, sum(medium)::BIGINT AS medium_issues,
+       sum(n - critical - high - medium)::BIGINT AS low_issues, trunc(avg(quality))::DOUBLE AS quality_score
+FROM scored JOIN (SELECT file_id, high, medium FROM counts) USING (file_id) GROUP BY pr_id""",
     "s07_cascade_delete": """
 , kept AS (SELECT id FROM tasks WHERE priority <> 'low')
 SELECT 'tasks' AS table_name, id AS parent, count(*) AS n FROM kept GROUP BY id

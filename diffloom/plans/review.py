@@ -9,6 +9,8 @@ from diffloom.functions import text as tx
 from diffloom.operators import files as fo
 from diffloom.operators import issues as io
 from diffloom.operators import rules, scores
+from diffloom.session import checkpointed
+from diffloom.sources.store import conform
 
 REVIEW_RULES = [*rules.LINT_RULES, *rules.SECURITY_RULES]
 
@@ -60,25 +62,26 @@ def result_tables(files: DataFrame, tasks: DataFrame) -> dict[str, DataFrame]:
     """The stored tables of a run for ``tasks(id, pr_id, started_at, completed_at)``.
 
     Row ids are hashes of business keys: a repeated run produces the same rows.
+    The reviewed rows (without content) are written to the shared folder once, so
+    that the three tables do not each read and scan the content again.
     """
-    reviewed = review_files(files)
+    reviewed = checkpointed(review_files(files))
     analysis_id = F.sha2(F.concat_ws("/", F.lit("analysis"), F.col("pr_id").cast("string")), 256)
     file_id = F.sha2(F.concat_ws("/", F.lit("file"), F.col("pr_id").cast("string"), F.col("file_id").cast("string")), 256)
     summary = scores.summarise_prs(reviewed)
-    analyses = tasks.join(summary, "pr_id").select(
-        analysis_id.alias("id"), F.col("id").alias("task_id"), F.lit("completed").alias("status"),
-        F.col("started_at").alias("analysis_started_at"), F.col("completed_at").alias("analysis_completed_at"),
-        F.col("total_files_analyzed"), F.col("total_issues").alias("total_issues_found"),
-        F.col("critical_issues"), F.col("overall_score").cast("double").alias("quality_score"), "recommendations",
-    )
-    headers = scores.file_headers(reviewed).select(
-        file_id.alias("id"), analysis_id.alias("pr_analysis_id"), "*"
-    ).drop("file_id", "pr_id")
+    headers = scores.file_headers(reviewed).select(file_id.alias("id"), analysis_id.alias("pr_analysis_id"), "*")
     issues = io.normalise_issues(issue_rows(reviewed)).select(
         F.sha2(
             F.concat_ws("/", F.lit("issue"), F.col("pr_id").cast("string"), F.col("file_id").cast("string"),
                         F.col("line_number").cast("string"), F.col("rule_id")), 256
         ).alias("id"),
         analysis_id.alias("pr_analysis_id"), file_id.alias("file_analysis_id"), "*",
-    ).drop("file_id", "pr_id")
-    return {"pr_analyses": analyses, "file_analyses": headers, "issues": issues}
+    )
+    heads = tasks.join(summary, "pr_id").select(
+        analysis_id.alias("id"), F.col("id").alias("task_id"), F.lit("completed").alias("status"),
+        F.col("started_at").alias("analysis_started_at"), F.col("completed_at").alias("analysis_completed_at"),
+        F.col("overall_score").alias("quality_score"), "recommendations",
+    )
+    statistics = scores.analysis_statistics(headers, issues).withColumnRenamed("pr_analysis_id", "id")
+    tables = {"pr_analyses": heads.join(statistics, "id", "left"), "file_analyses": headers, "issues": issues}
+    return {name: conform(name, rows) for name, rows in tables.items()}
