@@ -117,6 +117,19 @@ ADVISE_SPLITTING = "Large PR - consider breaking into smaller changes"
 ADVISE_NOTHING = "Code looks good! Consider adding tests if not present"
 ANALYSIS_TOOLS = ["ai_agent", "code_analyzer"]
 
+# --- fixed values: progress reports of a review, as (progress, stage, message) ----
+STAGES_BEFORE_FILES = [
+    (0, "initializing", "Starting PR analysis..."),
+    (10, "fetching_pr_data", "Fetching PR data from GitHub..."),
+    (30, "analyzing_files", "Analyzing {files} files..."),
+]
+FILE_STAGE = ("analyzing_files", "Analyzing file {place}/{files}: {path}")
+STAGES_AFTER_FILES = [
+    (85, "generating_summary", "Generating analysis summary..."),
+    (95, "saving_results", "Saving analysis results..."),
+    (100, "completed", "Analysis completed successfully!"),
+]
+
 # --- fixed values: language rules -----------------------------------------------
 LINE_LIMITS = {"python": 88, "javascript": 100, "typescript": 100}
 WANTED_IMPORTS = {"python": ["typing", "logging"]}

@@ -7,6 +7,7 @@ functions replace per-line rows wherever the result is one value per file.
 from __future__ import annotations
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,14 @@ from pyspark.sql import functions as F
 from diffloom import fixed_values as fv
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A text with its named gaps filled from columns."""
+    pieces = []
+    for literal, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(literal)] + ([values[name].cast("string")] if name else [])
+    return F.concat(*pieces)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fv.WHITESPACE))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from diffloom import fixed_values as fv
 from diffloom.functions import normalize as nz
+from diffloom.functions.text import filled
 from diffloom.operators.ordering import running_total
 
 RETRY_DELAY_SECONDS = 60
@@ -77,12 +78,31 @@ def fold_tasks(events: DataFrame, max_retries: int = fv.MAX_RETRIES) -> DataFram
     )
 
 
-def file_stage_progress(files: DataFrame, order: list[Column], key: str = "pr_id") -> DataFrame:
-    """Progress while each file is analysed, from its place in the pull request."""
-    placed = running_total(files, [key], order, F.lit(1), "_place", "_files")
-    return placed.withColumn(
-        "progress", nz.stage_progress(F.col("_place") - 1, F.col("_files"))
-    ).drop("_place", "_files")
+def review_progress(files: DataFrame, order: list[Column], key: str = "pr_id") -> DataFrame:
+    """The progress reports of every review: the fixed stages, and one report per file in order.
+
+    ``files`` has the key and ``path``. A file's progress follows from its place in the
+    pull request, which is found without sorting a pull request in one task.
+    """
+    placed = running_total(files, [key], order, F.lit(1), "place", "files")
+    stage, message = fv.FILE_STAGE
+    by_file = placed.select(
+        key,
+        nz.stage_progress(F.col("place") - 1, F.col("files")).alias("progress"),
+        F.lit(stage).alias("stage"),
+        filled(message, place=F.col("place"), files=F.col("files"), path=F.coalesce("path", F.lit("unknown"))).alias("message"),
+    )
+    stages = F.array(
+        *[
+            F.struct(
+                F.lit(progress).alias("progress"), F.lit(name).alias("stage"),
+                filled(text, files=F.col("files")).alias("message"),
+            )
+            for progress, name, text in (*fv.STAGES_BEFORE_FILES, *fv.STAGES_AFTER_FILES)
+        ]
+    )
+    sizes = files.groupBy(key).agg(F.count(F.lit(1)).alias("files"))
+    return by_file.unionByName(sizes.select(key, F.explode(stages).alias("s")).select(key, "s.*"))
 
 
 def without_redeliveries(events: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,17 +66,9 @@ SECURITY_RULES = [
 ]
 SECURITY_FAMILIES = [rule.issue_type for rule in SECURITY_RULES]
 
-def _filled(template: str, **values: Column) -> Column:
-    """A text with its named gaps filled from columns."""
-    pieces = []
-    for literal, name, _, _ in Formatter().parse(template):
-        pieces += [F.lit(literal)] + ([values[name].cast("string")] if name else [])
-    return F.concat(*pieces)
-
-
 def _lint(rule_id: str, condition: Callable[[Column], Column], *languages: str) -> LineRule:
     kind, severity, message, suggestion = fv.LINT_TEXTS[rule_id]
-    return LineRule(rule_id, kind, severity, condition, lambda line: _filled(message, length=F.length(line)),
+    return LineRule(rule_id, kind, severity, condition, lambda line: tx.filled(message, length=F.length(line)),
                     suggestion, languages)
 
 
@@ -161,7 +152,7 @@ def _suggestion(texts: tuple[str, str, str, str], **values: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("type"),
         F.lit(priority).alias("priority"),
-        _filled(message, **values).alias("message"),
+        tx.filled(message, **values).alias("message"),
         F.lit(suggestion).alias("suggestion"),
     )
 

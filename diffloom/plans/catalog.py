@@ -873,9 +873,7 @@ def r03b_task_fold_stream(spark, sf):
 
 @query
 def r04_stage_progress(spark, sf):
-    return lifecycle.file_stage_progress(
-        b.files(spark, sf).select("file_id", "pr_id"), [F.col("file_id")]
-    )
+    return lifecycle.review_progress(b.files(spark, sf).select("file_id", "pr_id", "path"), [F.col("file_id")])
 
 
 def _redelivered(events: DataFrame) -> DataFrame:

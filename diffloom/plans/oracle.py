@@ -684,8 +684,13 @@ SELECT task_id, epoch_us(ts) AS ts, seq, progress, message FROM task_events WHER
     "r03_task_fold": TASK_STATE,
     "r03b_task_fold_stream": TASK_STATE,
     "r04_stage_progress": """
-SELECT file_id, pr_id, (30 + trunc((row_number() OVER (PARTITION BY pr_id ORDER BY file_id) - 1)::DOUBLE
-    / count(*) OVER (PARTITION BY pr_id) * 50))::INTEGER AS progress FROM files_v""",
+, placed AS (SELECT pr_id, path, row_number() OVER (PARTITION BY pr_id ORDER BY file_id) AS i, count(*) OVER (PARTITION BY pr_id) AS n FROM files_v)
+SELECT pr_id, (30 + trunc((i - 1)::DOUBLE / n * 50))::INTEGER AS progress, 'analyzing_files' AS stage,
+       'Analyzing file ' || i || '/' || n || ': ' || path AS message FROM placed
+UNION ALL SELECT pr_id, p, s, replace(m, '#', n::VARCHAR) FROM (SELECT DISTINCT pr_id, n FROM placed), (VALUES
+  (0, 'initializing', 'Starting PR analysis...'), (10, 'fetching_pr_data', 'Fetching PR data from GitHub...'),
+  (30, 'analyzing_files', 'Analyzing # files...'), (85, 'generating_summary', 'Generating analysis summary...'),
+  (95, 'saving_results', 'Saving analysis results...'), (100, 'completed', 'Analysis completed successfully!')) v(p, s, m)""",
     "r05_attempts": """
 SELECT task_id, seq, n + 1 AS attempt, CASE WHEN state = 'retry' THEN n <= 3 END AS retry_allowed,
        CASE WHEN state = 'retry' THEN epoch_us(ts) + 60000000 END AS retry_at

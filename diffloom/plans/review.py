@@ -16,8 +16,9 @@ REVIEW_RULES = [*rules.LINT_RULES, *rules.SECURITY_RULES]
 
 
 def prepare(files: DataFrame) -> DataFrame:
-    """Content choice and path parts; accepts files with or without content and patch columns."""
-    missing = {c: F.lit(None).cast("string") for c in ("content", "patch") if c not in files.columns}
+    """Content choice and path parts; content, patch, additions and deletions columns may be absent."""
+    optional = {"content": "string", "patch": "string", "additions": "bigint", "deletions": "bigint"}
+    missing = {c: F.lit(None).cast(t) for c, t in optional.items() if c not in files.columns}
     return fo.with_path_parts(fo.select_content(files.withColumns(missing) if missing else files))
 
 

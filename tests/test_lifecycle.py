@@ -64,12 +64,13 @@ def test_attempts_with_redelivery(spark):
     assert rows[1]["retry_at"] - rows[1]["ts"] == dt.timedelta(seconds=60)
 
 
-def test_stage_progress(spark):
-    files = spark.createDataFrame([("p", n) for n in range(4)] + [("q", 9)], "pr_id string, file_id int")
-    rows = lifecycle.file_stage_progress(files, [F.col("file_id")]).collect()
-    assert {(r["pr_id"], r["file_id"]): r["progress"] for r in rows} == {
-        ("p", 0): 30, ("p", 1): 42, ("p", 2): 55, ("p", 3): 67, ("q", 9): 30,
-    }
+def test_review_progress(spark):
+    files = spark.createDataFrame([("p", n, f"f{n}") for n in range(4)] + [("q", 9, None)], "pr_id string, file_id int, path string")
+    rows = lifecycle.review_progress(files, [F.col("file_id")]).collect()
+    of_p = sorted(r["progress"] for r in rows if r["pr_id"] == "p")
+    assert of_p == [0, 10, 30, 30, 42, 55, 67, 85, 95, 100]
+    messages = {r["message"] for r in rows}
+    assert {"Analyzing file 2/4: f1", "Analyzing 4 files...", "Analyzing file 1/1: unknown"} <= messages
 
 
 def test_stream_over_many_batches_equals_batch(spark, tmp_path):
