@@ -39,7 +39,6 @@ MAX_FUNCTION_LINES = 50
 MAX_FILE_LINES = 500
 MAX_COMPLEXITY = 10
 MAX_DUPLICATION = 0.3
-FILES_PER_PR_LIMIT = 5000
 MAX_RETRIES = 3
 
 # Characters removed by a whitespace strip, and the same set as a regex class.

@@ -87,7 +87,8 @@ def s02_pr_files(spark, sf):
 @query
 def s03_file_content(spark, sf):
     doc = F.col("doc_id")
-    fetched = b.documents(spark, sf).filter(doc % 3 != 2).select(
+    # The French files were not found.
+    fetched = b.documents(spark, sf).filter(F.col("lang") != "fr").select(
         F.lit("p").alias("pr_id"), doc.cast("string").alias("filename"),
         F.when(doc % 3 == 0, "base64").otherwise("utf-8").alias("encoding"),
         F.when(doc % 3 == 0, F.regexp_replace(F.base64(F.col("text").cast("binary")), "(.{60})", "$1\n"))
@@ -877,7 +878,7 @@ def r04_stage_progress(spark, sf):
 
 
 def _redelivered(events: DataFrame) -> DataFrame:
-    return events.unionByName(events.filter(F.col("seq") % 3 == 0))
+    return events.unionByName(events.filter(F.col("state") == "retry"))
 
 
 @query

@@ -248,7 +248,7 @@ tasks AS (
 analyses AS (
   SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 2) * 7 END AS total_files,
          CASE WHEN o_custkey % 3 = 1 THEN (o_custkey % 2) * 11 END AS total_issues, (o_custkey % 101)::DOUBLE AS quality_score
-  FROM orders WHERE o_custkey % 4 <> 0),
+  FROM orders WHERE o_totalprice > 60000),
 task_events AS (
   SELECT user_id AS task_id, event_id AS seq, ts, event_type AS stage,
          CASE event_type WHEN 'signup' THEN 'processing' WHEN 'click' THEN 'retry' WHEN 'purchase' THEN 'completed'
@@ -389,7 +389,7 @@ SELECT pr_id::VARCHAR AS pr_id, ((page - 1) * 8 + row_number() OVER (PARTITION B
 FROM (SELECT *, (CASE WHEN file_id % 41 < 20 THEN file_id % 41 ELSE file_id % 41 - 20 END) // 8 + 1 AS page FROM files_v)""",
     "s03_file_content": """
 SELECT doc_id::VARCHAR AS filename, sha256(c) AS content_hash, length(c)::INTEGER AS n_chars
-FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END AS c FROM documents)""",
+FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN '' ELSE text END AS c FROM documents)""",
     "s04_repository_dimension": """
 SELECT doc_id, source AS repo_name, language, (CASE WHEN n % 2 = 0 THEN n ELSE 0 END)::INTEGER AS stars
 FROM documents JOIN (SELECT source, max(lang) AS language, max(n_chars) AS n FROM documents GROUP BY source) USING (source)""",
