@@ -25,6 +25,7 @@ from diffloom.session import checkpointed
 
 NULL_ID = -(2**63)  #: stands for a null doc_id inside blocks; sorts before every other
 BLOCK_BYTES = 4 << 20
+BODY_LEVEL = 5  #: bodies are written and moved several times, compressed once
 SHARD_BYTES = 96 << 20
 BLOCK_SCHEMA = "block_id bigint, ids binary, lens binary, body binary"
 ASK_SCHEMA = "shard int, block_id bigint, asked binary"
@@ -55,7 +56,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
     held = made = 0
 
     def block() -> pa.RecordBatch:
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        body = zstandard.ZstdCompressor(level=BODY_LEVEL).compress(b"".join(texts))
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         return pa.RecordBatch.from_arrays(
             [
