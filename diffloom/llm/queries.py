@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffloom.llm import ctw, exact, jaccard, mixing, suffix
+from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.context_tree_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +30,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.training_order(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,8 +56,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
+    "op2_text_density": op2_text_density,
     "op3_source_mix": op3_source_mix,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_kneser_ney": op5_kneser_ney,
+    "op6_license_scan": op6_license_scan,
+    "op7_decontamination": op7_decontamination,
+    "op8_training_order": op8_training_order,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
