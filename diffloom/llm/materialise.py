@@ -137,8 +137,8 @@ def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length:
     schema = "block_id bigint, n bigint, ids binary, lens binary, tokens binary"
     blocks = checkpointed(id_and_text(docs).mapInArrow(lambda b: _token_blocks(b, sent, BLOCK_BYTES), schema))
     counts = blocks.select("block_id", F.ceil(F.col("n") / length).cast("bigint").alias("count"))
-    placed = running_total(counts, [], [F.col("block_id")], F.col("count"), "_end", "_all")
-    size = placed.agg(F.coalesce(F.max("_all"), F.lit(0))).first()[0]
+    placed = running_total(counts, [], [F.col("block_id")], F.col("count"), "_end", "_size")
+    size = placed.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
     numbered = blocks.join(placed.select("block_id", (F.col("_end") - F.col("count")).alias("first")), "block_id")
     made = numbered.mapInArrow(lambda b: _sequences(b, length, size, key, per_shard, end), SEQUENCE_SCHEMA)
     return made.repartition(max(1, -(-size // per_shard)), "shard").sortWithinPartitions("shard", "slot")
