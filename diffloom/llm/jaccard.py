@@ -299,3 +299,14 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
 
 def _nulled(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their component in ``found``; rows with equal doc_id are one document.
+
+    Rows without a doc_id are told apart by their text.
+    """
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
+    text_key = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
+    return rows.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")

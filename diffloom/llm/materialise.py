@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,7 @@ def permuted(numbers: np.ndarray, size: int, key: int, rounds: int = 4) -> np.nd
     """A keyed one-to-one map of ``range(size)``: a Feistel network, walked on until inside."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    keys = mixed(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mixed(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 % 2**64))
     out = numbers.astype(np.uint64)
     open_ = np.arange(len(out))
     while len(open_):
@@ -150,42 +149,47 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
-def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard's slots one after the other to ``folder``; returns one manifest row for each shard.
+def written(sequences: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard's slots one after the other to ``folder``; returns the rows without ``ids``, with ``file``.
 
-    A shard is written under a name of its task attempt and renamed when it is whole, so a repeated or
-    lost task leaves no half file. ``folder`` must be one that all executors share.
+    The writing happens as the rows are read, and again if they are read again. A shard is written under a
+    name of its task attempt and renamed when it is whole, so a repeated or lost task leaves no
+    half file. ``folder`` must be one that all executors share.
     """
+    kept = [c for c in sequences.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        shard, out, digest, first, count = None, None, None, 0, 0
+        shard, out = None, None
 
-        def closed() -> pa.RecordBatch:
+        def close():
             out.close()
-            name = f"shard-{shard:06d}.bin"
-            files.move(f"{root}/{name}.{attempt}", f"{root}/{name}")
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), pa.array([name]), pa.array([first]), pa.array([count]), pa.array([digest.hexdigest()])],
-                names=["shard", "file", "first_slot", "slots", "sha256"])
+            files.move(f"{root}/shard-{shard:06d}.bin.{attempt}", f"{root}/shard-{shard:06d}.bin")
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
+            shards = batch.column(batch.schema.get_field_index("shard")).to_pylist()
+            for number, ids in zip(shards, batch.column(batch.schema.get_field_index("ids")).to_pylist()):
+                if number != shard:
                     if out:
-                        yield closed()
-                    shard, first, count, digest = row["shard"], row["slot"], 0, hashlib.sha256()
+                        close()
+                    shard = number
                     out = files.open_output_stream(f"{root}/shard-{shard:06d}.bin.{attempt}")
-                out.write(row["ids"])
-                digest.update(row["ids"])
-                count += 1
+                out.write(ids)
+            names = pa.array([f"shard-{n:06d}.bin" for n in shards])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], names], names=[*kept, "file"])
         if out:
-            yield closed()
+            close()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.select(*kept).schema.fields)
+    return sequences.mapInArrow(run, f"{schema}, file string")
 
-    ordered = sequences.select("shard", "slot", "ids").repartition("shard").sortWithinPartitions("shard", "slot")
-    return ordered.mapInArrow(run, "shard bigint, file string, first_slot bigint, slots bigint, sha256 string")
+
+def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
+    """Writes the shards; one manifest row for each: ``shard``, ``file``, ``first_slot``, ``slots``."""
+    return written(sequences, folder).groupBy("shard", "file").agg(
+        F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("slots"))
 
 
 def read_shards(spark: SparkSession, folder: str, length: int = SEQUENCE, per_shard: int = SHARD_SLOTS,

@@ -112,29 +112,17 @@ def _scattered(block: Column, blocks: Column, seed: int) -> Column:
     return F.pmod(block * step + F.lit(seed), blocks)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-                block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 20) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``quota``, ``taken`` for every row.
-
-    A source's rows, in seeded hash order, are one stream of words cut into blocks of
-    ``block_words`` (the last may be shorter). Its quota, the sum of its quotas over the
-    shards, counts whole passes over the stream and a rest; a seeded
-    shuffle of the block numbers says which blocks the rest takes. ``taken`` counts the row's words in all
-    passes and chosen blocks, so it is at most ``most`` times its size, and a source's sum differs
-    from its target by less than two blocks. Streams are positioned by running sums over
-    range partitions: a source may hold any share of all rows.
-
-    A null source is a source of its own, the last; null and blank texts have size 0 and
-    nothing taken; repeated rows are rows of their own; an empty table gives no rows. Reruns agree.
-    """
+def _planned(docs: DataFrame, carry: list[str], weights: tuple[int, ...], most: int, block_words: int,
+             shards: int, seed: int) -> DataFrame:
+    """Rows with their place in their source's stream and their source's plan: passes, and blocks of the rest."""
     sized = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        *_key(F.col("source").cast("string")),
+        *_key(F.col("source").cast("string")), *carry,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id").alias("_order"))
     placed = checkpointed(running_total(
         sized.withColumn("_tie", F.monotonically_increasing_id()), ["_last", "_name"],
-        [F.col("_order"), F.col("doc_id"), F.col("size"), F.col("_tie")], F.col("size"), "_end", "source_size"))
+        [F.col("_order"), F.col("doc_id"), F.col("size"), F.col("_tie")], F.col("size"), "_end", "source_size").drop("_order", "_tie"))
     sources = placed.groupBy("_last", "_name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = checkpointed(source_targets(sources, weights, most))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -146,9 +134,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     words = F.coalesce("quota", F.lit(0)) * block_words
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(words / F.col("source_size")))).otherwise(F.lit(0)).cast("bigint")
-    rest = F.when(F.col("_passes") < most, F.least(F.col("_blocks"), F.round((words - F.col("_passes") * F.col("source_size")) / block_words))).otherwise(F.lit(0))
+    rest = F.when(F.col("_passes") < most, F.least(F.col("_blocks"), F.round(
+        (words - F.col("_passes") * F.col("source_size")) / block_words))).otherwise(F.lit(0))
     # A prime near the golden section of 2**31 shares no factor with any number of blocks but its own multiples.
-    step = F.when(F.pmod(F.col("_blocks"), F.lit(1327217909)) == 0, F.lit(1)).otherwise(F.pmod(F.lit(1327217909), F.greatest(F.col("_blocks"), F.lit(1))))
+    step = F.when(F.pmod(F.col("_blocks"), F.lit(1327217909)) == 0, F.lit(1)).otherwise(
+        F.pmod(F.lit(1327217909), F.greatest(F.col("_blocks"), F.lit(1))))
     plan = (
         targets.withColumn("_blocks", n_blocks).withColumn("_passes", passes).withColumn("_rest", rest.cast("bigint"))
         .withColumn("_step", step.cast("bigint"))
@@ -157,13 +147,50 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # A few rows of plan go to every task; a plan of more sources is joined by shuffle.
     if targets.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = placed.join(plan, ["_last", "_name"])
-    start = F.col("_end") - F.col("size")
-    first, last = F.floor(start / block_words).cast("bigint"), F.floor((F.col("_end") - 1) / block_words).cast("bigint")
+    return placed.join(plan, ["_last", "_name"]).withColumn("_start", F.col("_end") - F.col("size"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+                block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 20) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``quota``, ``taken`` for every row.
+
+    A source's rows, in seeded hash order, are one stream of words cut into blocks of
+    ``block_words`` (the last may be shorter). Its quota, the sum of its quotas over the
+    shards, counts whole passes over the stream and a rest; a seeded
+    shuffle of the block numbers says which blocks the rest takes. ``taken`` counts the row's words in all
+    passes and chosen blocks, so it is at most ``most`` times its size, and a source's sum differs
+    from its target by less than two blocks. Streams are positioned by running sums over
+    range partitions: a source may hold any share of all rows.
+
+    A null source is a source of its own, the last; null and blank texts have size 0 and
+    nothing taken; repeated rows are rows of their own; an empty table gives no rows. Reruns agree.
+    """
+    joined = _planned(docs, [], weights, most, block_words, shards, seed)
+    first = F.floor(F.col("_start") / block_words).cast("bigint")
+    last = F.floor((F.col("_end") - 1) / block_words).cast("bigint")
     inside = F.aggregate(
         F.sequence(first, last), F.lit(0).cast("bigint"),
-        lambda total_, b: total_ + F.when(
+        lambda total, b: total + F.when(
             _scattered(b, F.col("_blocks"), seed) < F.col("_rest"),
-            F.least(F.col("_end"), (b + 1) * block_words) - F.greatest(start, b * block_words)).otherwise(F.lit(0)))
+            F.least(F.col("_end"), (b + 1) * block_words) - F.greatest(F.col("_start"), b * block_words)).otherwise(F.lit(0)))
     taken = F.col("_passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("_rest") > 0), inside).otherwise(F.lit(0))
     return joined.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("bigint").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = 256,
+                shards: int = SHARDS, seed: int = 20) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole pass over a text, and one for the words in chosen blocks.
+
+    ``n_chars`` is counted anew for texts that are cut. Rows of which the mix takes nothing go. Other cases as in ``mix_sources``.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
+    plan = _planned(docs, carry, weights, most, block_words, shards, seed)
+    chosen = F.filter(
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)),
+        lambda _, i: _scattered(F.floor((F.col("_start") + i) / block_words).cast("bigint"), F.col("_blocks"), seed) < F.col("_rest"))
+    rest = F.when(F.col("_rest") == F.col("_blocks"), F.col("text")).when(F.col("_rest") > 0, F.array_join(chosen, " "))
+    whole = plan.where("size > 0 and _passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int"))))
+    cut = plan.where("size > 0 and _rest > 0").withColumn("text", rest).where("text <> ''")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
