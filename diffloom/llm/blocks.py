@@ -139,6 +139,37 @@ def answered(asked: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) ->
     return asked.groupBy("shard").applyInPandas(run, REPLY_SCHEMA)
 
 
+def at_shards(asked: DataFrame) -> DataFrame:
+    """Requests brought to their shards once and kept there, for several passes without a shuffle each.
+
+    All requests of a shard lie in one partition, one after the other; the checkpoint keeps that.
+    """
+    return checkpointed(asked.repartition(shuffle_partitions(asked), "shard").sortWithinPartitions("shard", "block_id"))
+
+
+def per_shard(asked: DataFrame, make: Callable[[list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """One record batch for each shard of what ``at_shards`` gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["shard"] != row["shard"]:
+                    yield make(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield make(held)
+
+    return asked.mapInArrow(run, schema)
+
+
+def replies_of(rows: list[dict], replies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r["block_id"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array(replies, pa.binary())],
+        names=["block_id", "shard", "reply"])
+
+
 def with_replies(blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     """Blocks beside the list of their replies; a block that asked nothing has an empty list."""
     listed = replies.groupBy("block_id").agg(F.collect_list(F.struct("shard", "reply")).alias(name))

@@ -5,23 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.blocks import (
-    ASK_SCHEMA, NULL_ID, answered, ask_batch, crc_of_id, mixed, pack, per_block, prefix_sums,
-    read_block, replies_in_order, shard_count, substring_hash, text_blocks, unpack, with_replies,
+    ASK_SCHEMA, NULL_ID, REPLY_SCHEMA, ask_batch, at_shards, crc_of_id, mixed, pack, per_block, per_shard, prefix_sums,
+    read_block, replies_of, shard_count, substring_hash, text_blocks, unpack, with_replies,
 )
-from diffloom.session import checkpointed
 
 DEPTH = 6  #: bytes of context; with the byte itself they fill seven of eight bytes of a key
 BLOCK_BYTES = 16 << 20  #: the larger a block, the smaller the share of its pairs that it asks for
 PIECE = 1 << 19
 STEPS = 2048  #: a byte's log10 probability is kept in this many steps for a factor of ten
 END = np.uint64(0)  #: stands for the end among word hashes
-TOP_NODES = 256 * 255  #: most nodes that contexts of one byte can have
 
 
 def held_out_id(doc_id: int | None) -> bool:
@@ -137,10 +134,10 @@ def _word_answers(asked: list[bytes]) -> list[bytes]:
     return [pack(t) for t in np.split(total, bounds)]
 
 
-def _word_totals(group: pd.DataFrame) -> pd.DataFrame:
-    keys, counts, _ = _read(list(group["asked"]))
+def _word_totals(asked: list[bytes]) -> pa.RecordBatch:
+    keys, counts, _ = _read(asked)
     _, total = _counted([(keys, counts)])
-    return pd.DataFrame({"n": [int(total.sum())], "v": [int((total > 0).sum())]})
+    return pa.RecordBatch.from_arrays([pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], names=["n", "v"])
 
 
 # The tree
@@ -210,12 +207,13 @@ def _subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> list[Nodes]:
     return levels
 
 
-def _crown(group: pd.DataFrame, depth: int) -> pd.DataFrame:
-    keys, counts, _ = _read(list(group["asked"]))
+def _crown(asked: list[bytes], depth: int) -> pa.RecordBatch:
+    keys, counts, _ = _read(asked)
     codes, total = _counted([(keys, counts)])
     key, zeros, ones, weighted = _subtree(codes, total, depth)[-1].parents(0xFFFF)
-    frame = pd.DataFrame({"key": key.astype(np.int64), "zeros": zeros, "ones": ones, "below": weighted})
-    return frame.groupby("key", as_index=False).sum()
+    distinct, place = np.unique(key, return_inverse=True)
+    sums = [np.bincount(place, weights=w, minlength=len(distinct)) for w in (zeros, ones, weighted)]
+    return pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), *map(pa.array, sums)], names=["key", "zeros", "ones", "below"])
 
 
 def _gram_answers(crown: tuple, depth: int) -> Callable[[list[bytes]], list[bytes]]:
@@ -317,17 +315,20 @@ def context_tree_scores(docs: DataFrame, depth: int = DEPTH, held_out: Callable[
         raise ValueError("depth must be between 2 and 7")
     blocks = text_blocks(docs, BLOCK_BYTES)
     shards = shard_count(blocks, 0.75)
-    asked = checkpointed(per_block(blocks, lambda row: _request(row, shards, depth, held_out), ASK_SCHEMA).repartition("shard"))
+    asked = at_shards(per_block(blocks, lambda row: _request(row, shards, depth, held_out), ASK_SCHEMA))
     words, grams = asked.where(F.col("shard") >= shards), asked.where(F.col("shard") < shards)
-    totals = words.groupBy("shard").applyInPandas(_word_totals, "n bigint, v bigint").agg(
+    body = lambda rows: [r["asked"] for r in rows]
+    totals = per_shard(words, lambda rows: _word_totals(body(rows)), "n bigint, v bigint").agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    # At most TOP_NODES rows, whatever the corpus.
+    # At most 256 * 255 rows, whatever the corpus.
     top = (
-        grams.groupBy("shard").applyInPandas(lambda g: _crown(g, depth), "key bigint, zeros double, ones double, below double")
-        .groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).limit(TOP_NODES).toPandas().to_numpy(dtype=np.float64)
+        per_shard(grams, lambda rows: _crown(body(rows), depth), "key bigint, zeros double, ones double, below double")
+        .groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toPandas().to_numpy(dtype=np.float64)
     )
     crown = (top[:, 0].astype(np.uint64), top[:, 1], top[:, 2], top[:, 3])
-    replies = answered(grams, _gram_answers(crown, depth)).union(answered(words, _word_answers))
+    answer = _gram_answers(crown, depth)
+    replies = per_shard(grams, lambda rows: replies_of(rows, answer(body(rows))), REPLY_SCHEMA).union(
+        per_shard(words, lambda rows: replies_of(rows, _word_answers(body(rows))), REPLY_SCHEMA))
     n, v = int(totals[0]), int(totals[1])
     return per_block(
         with_replies(blocks, replies, "replies"), lambda row: _scores(row, shards, depth, held_out, n, v), SCORE_SCHEMA)

@@ -112,7 +112,7 @@ def _scattered(block: Column, blocks: Column, seed: int) -> Column:
     return F.pmod(block * step + F.lit(seed), blocks)
 
 
-def _planned(docs: DataFrame, carry: list[str], weights: tuple[int, ...], most: int, block_words: int,
+def _planned(docs: DataFrame, carry: list[Column], weights: tuple[int, ...], most: int, block_words: int,
              shards: int, seed: int) -> DataFrame:
     """Rows with their place in their source's stream and their source's plan: passes, and blocks of the rest."""
     sized = docs.select(
@@ -183,14 +183,17 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     ``n_chars`` is counted anew for texts that are cut. Rows of which the mix takes nothing go. Other cases as in ``mix_sources``.
     """
-    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
+    carry = [F.struct(*docs.columns).alias("_row")]
     plan = _planned(docs, carry, weights, most, block_words, shards, seed)
+    text = F.col("_row.text")
     chosen = F.filter(
-        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)),
+        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)),
         lambda _, i: _scattered(F.floor((F.col("_start") + i) / block_words).cast("bigint"), F.col("_blocks"), seed) < F.col("_rest"))
-    rest = F.when(F.col("_rest") == F.col("_blocks"), F.col("text")).when(F.col("_rest") > 0, F.array_join(chosen, " "))
+    rest = F.when(F.col("_rest") == F.col("_blocks"), text).when(F.col("_rest") > 0, F.array_join(chosen, " "))
     whole = plan.where("size > 0 and _passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int"))))
-    cut = plan.where("size > 0 and _rest > 0").withColumn("text", rest).where("text <> ''")
+    cut = plan.where("size > 0 and _rest > 0").withColumn("_text", rest).where("_text <> ''")
+    anew = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+        anew["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
+    columns = [anew.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    return whole.select("_row.*").unionByName(cut.select(*columns))

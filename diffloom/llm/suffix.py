@@ -16,7 +16,7 @@ from diffloom.llm.blocks import (
 )
 from diffloom.session import checkpointed
 
-GRAM = 16  #: bytes that select and sort a sampled suffix
+GRAM = 24  #: bytes that select and sort a sampled suffix; the longer, the fewer meet by chance
 SEGMENT = 1 << 18  #: positions hashed at a time, whatever the length of a text
 NEW, SEEN, UNSURE = 0, 1, 2
 
@@ -32,10 +32,10 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple]:
-    """Stretches of neighbouring windows of ``length`` bytes with the same lowest 16-gram.
+    """Stretches of neighbouring windows of ``length`` bytes with the same lowest gram of GRAM bytes.
 
     The lowest gram depends on a window's content alone, so equal windows in any two
-    documents meet under the same key, and about one position in eighteen is sampled.
+    documents meet under the same key, and about one position in fourteen is sampled.
     Yields for each segment the hash sums with their offset, and the first window, last
     window and key of each stretch. Windows never cross documents. Where a stretch begins and
     ends only decides how windows are sent, never which are found.
@@ -288,8 +288,8 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     """Per row: bytes covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Each text is UTF-8 bytes, a null text empty; matches never cross documents, overlaps
-    count, and strings are judged on the input. Content-sampled suffixes (one 16-gram in
-    about eighteen bytes, chosen so that every ``length``-byte string contains one) are
+    count, and strings are judged on the input. Content-sampled suffixes (one gram of 24 bytes in
+    about fourteen, chosen so that every ``length``-byte string contains one) are
     sorted by fingerprints of 64 bits. Each key shard indexes its suffixes in batches of
     document order: a new batch is scanned against the levels of a logarithmic family and
     levels of like size merge. A stretch of windows that an earlier document holds whole is settled; where
