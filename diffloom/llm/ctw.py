@@ -15,7 +15,7 @@ from diffloom.llm.blocks import (
 )
 
 DEPTH = 6  #: bytes of context; with the byte itself they fill seven of eight bytes of a key
-BLOCK_BYTES = 16 << 20  #: the larger a block, the smaller the share of its pairs that it asks for
+BLOCK_BYTES = 8 << 20  #: the larger a block, the smaller the share of its pairs that it asks for
 PIECE = 1 << 19
 STEPS = 2048  #: a byte's log10 probability is kept in this many steps for a factor of ten
 END = np.uint64(0)  #: stands for the end among word hashes
