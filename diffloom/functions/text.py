@@ -41,8 +41,8 @@ def nonblank_lines(line_array: Column) -> Column:
     return F.filter(F.transform(line_array, strip), lambda text: text != "")
 
 
-def code_text(line_array: Column, limit: int | None = fv.CODE_TEXT_LIMIT) -> Column:
-    """Non-blank stripped lines joined by one space; ``limit=None`` keeps the whole text."""
+def code_text(line_array: Column, limit: int | None = None) -> Column:
+    """Non-blank stripped lines joined by one space; a model with a bounded input passes its ``limit``."""
     joined = F.array_join(nonblank_lines(line_array), " ")
     return joined if limit is None else F.substring(joined, 1, limit)
 

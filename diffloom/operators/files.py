@@ -88,13 +88,14 @@ def content_copies(files: DataFrame) -> DataFrame:
     )
 
 
-def content_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Compare two snapshots by path: added, removed, changed or same.
+def content_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Compare two snapshots by ``keys``: added, removed, changed or same.
 
-    Only path and hash travel, never the content.
+    Snapshots of several repositories pass the repository beside the path, so that equal
+    paths of two repositories never meet. Only keys and hash travel, never the content.
     """
     def hashed(snapshot: DataFrame, name: str) -> DataFrame:
-        return snapshot.select("path", tx.content_hash(F.col("content")).alias(name))
+        return snapshot.select(*keys, tx.content_hash(F.col("content")).alias(name))
 
     change = (
         F.when(F.col("hash_before").isNull(), "added")
@@ -102,5 +103,5 @@ def content_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("hash_before") != F.col("hash_after"), "changed")
         .otherwise("same")
     )
-    joined = hashed(before, "hash_before").join(hashed(after, "hash_after"), "path", "full_outer")
-    return joined.select("path", change.alias("change"))
+    joined = hashed(before, "hash_before").join(hashed(after, "hash_after"), list(keys), "full_outer")
+    return joined.select(*keys, change.alias("change"))

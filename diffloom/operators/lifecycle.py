@@ -44,6 +44,8 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 def progress_fold(events: DataFrame) -> DataFrame:
     """Stored progress (clamped) and number of log entries per task."""
+    if not events.isStreaming:
+        events = without_redeliveries(events)
     value = _progress_set()
     logged = F.col("message").isNotNull() & (F.col("message") != "") & F.col("progress").isNotNull()
     return events.groupBy("task_id").agg(
@@ -60,7 +62,13 @@ def progress_log(events: DataFrame) -> DataFrame:
 
 
 def fold_tasks(events: DataFrame, max_retries: int = fv.MAX_RETRIES) -> DataFrame:
-    """Task state after all events: status, retries, progress, times and error."""
+    """Task state after all events: status, retries, progress, times and error.
+
+    Delivery is at least once: a table's redelivered events are folded first, a stream
+    goes through the stream's own deduplication.
+    """
+    if not events.isStreaming:
+        events = without_redeliveries(events)
     state, value = F.col("state"), _progress_set()
     folded = events.groupBy("task_id").agg(
         F.coalesce(F.max_by("state", F.when(state.isNotNull(), _order())), F.lit("pending")).alias("_last"),

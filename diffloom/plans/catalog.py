@@ -372,12 +372,12 @@ def t02_nonblank_lines(spark, sf):
 
 @query
 def t03_code_text(spark, sf):
-    """The operator's text with its limit, and length and hash of the whole text."""
+    """The whole text, its length and its hash."""
     content = tx.lines(F.col("content"))
-    whole = tx.code_text(content, limit=None)
+    whole = tx.code_text(content)
     return b.code_files(spark, sf).select(
         "file_id", F.length(whole).alias("n_chars"), F.sha2(whole, 256).alias("text_hash"),
-        tx.code_text(content).alias("code_text"),
+        whole.alias("code_text"),
     )
 
 

@@ -477,7 +477,7 @@ FROM files_v f LEFT JOIN (SELECT * FROM plain_metrics SEMI JOIN (SELECT doc_id A
 SELECT file_id, count(*)::INTEGER AS n, sha256(string_agg({strip('line')}, {NL} ORDER BY line_no)) AS lines_hash
 FROM code_lines WHERE {strip('line')} <> '' GROUP BY file_id""",
     "t03_code_text": f"""
-SELECT file_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_hash, substr(t, 1, 512) AS code_text
+SELECT file_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_hash, t AS code_text
 FROM (SELECT file_id, string_agg({strip('line')}, ' ' ORDER BY line_no) AS t FROM code_lines WHERE {strip('line')} <> '' GROUP BY file_id)""",
     "t04_keyword_complexity": "SELECT file_id, complexity FROM metrics",
     "t05_duplicate_line_ratio": "SELECT file_id, round(duplication, 9) AS duplication FROM plain_metrics",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from diffloom import schemas
 
-MAX_PAGES = 50
 PAGE_SIZE = 100
 
 
@@ -37,15 +36,14 @@ def read_pr_files(spark: SparkSession, path: str) -> DataFrame:
     return pr_files(spark.read.schema(schemas.PR_FILES_PAGE_JSON).json(path))
 
 
-def pr_files(pages: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
+def pr_files(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row per changed file, from pages of files.
 
-    Paging ends after ``max_pages`` (5000 files by default). The page number gives
-    a file its place, so neither the limit nor the order needs a shuffle.
+    Every page is read; a page without a number counts as the first. The page number
+    gives a file its place, so the order needs no shuffle.
     """
     return (
-        pages.filter(F.col("page") <= max_pages)
-        .select("pr_id", "page", F.posexplode("files").alias("pos", "file"))
+        pages.select("pr_id", F.coalesce("page", F.lit(1)).alias("page"), F.posexplode("files").alias("pos", "file"))
         .select("pr_id", ((F.col("page") - 1) * page_size + F.col("pos")).alias("file_index"), "file.*")
     )
 

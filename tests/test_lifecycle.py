@@ -97,3 +97,10 @@ def test_stream_drops_redeliveries(spark, tmp_path):
         table.coalesce(1).write.mode("append").parquet(source)
         stream.start_deduplication(stream.read_task_events(spark, source), out, state).awaitTermination()
     assert spark.read.option("basePath", out).parquet(out).count() == 5
+
+
+def test_redelivery_changes_nothing(spark):
+    rows = spark.sql("SELECT 'r' AS task_id, timestamp'2024-01-01' AS ts, 1L AS seq, 'retry' AS state, 1 AS progress, 'm' AS message")
+    many = rows.union(rows).union(rows).union(rows)
+    assert lifecycle.fold_tasks(many).first()["retry_count"] == 1
+    assert lifecycle.progress_fold(many).first()["log_entries"] == 1

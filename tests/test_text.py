@@ -81,7 +81,9 @@ def test_strip_covers_all_whitespace(evaluate):
 def test_code_text(evaluate):
     text = tx.code_text(tx.lines(F.col("x")))
     assert evaluate(text, x="  a \n\n\t b\n") == "a b"
-    assert len(evaluate(text, x="word \n" * 400)) == 512
+    assert len(evaluate(text, x="word \n" * 400)) == 1999
+    limited = tx.code_text(tx.lines(F.col("x")), 512)
+    assert len(evaluate(limited, x="word \n" * 400)) == 512
 
 
 def test_word_jaccard(evaluate):
