@@ -161,16 +161,20 @@ def s06b_review_run(spark, sf):
 
 @query
 def s07_cascade_delete(spark, sf):
+    """Stored, deleted and read back: rows that are left for each parent."""
+    base = scratch_path(spark, "cascade")
     tasks = b.tasks(spark, sf)
-    remaining = store.cascade_delete(
+    store.write_run(
         {
             "tasks": tasks,
-            "pr_analyses": b.analyses(spark, sf),
+            "pr_analyses": b.all_analyses(spark, sf),
             "file_analyses": b.file_rows(spark, sf),
             "issues": b.stored_issues(spark, sf),
         },
-        tasks.filter(F.col("priority") == "low"),
+        base, "run-1",
     )
+    store.delete_tasks(spark, base, tasks.filter(F.col("priority") == "low"), "run-1")
+    remaining = {name: store.read_current(spark, base, name) for name in store.TABLES}
 
     def counted(name: str, parent: str) -> DataFrame:
         return remaining[name].groupBy(F.col(parent).alias("parent")).agg(F.count(F.lit(1)).alias("n")).select(
@@ -290,7 +294,7 @@ def f08_lifecycle_predicates(spark, sf):
 @query
 def f08b_analysis_predicates(spark, sf):
     counts = scores.count_severities(b.stored_issues(spark, sf), "pr_analysis_id")
-    return b.analyses(spark, sf).join(
+    return b.all_analyses(spark, sf).join(
         counts.withColumnRenamed("pr_analysis_id", "id"), "id", "left"
     ).select(
         "id", nz.analysis_is_completed(F.col("status")).alias("is_completed"),
@@ -567,17 +571,16 @@ def e01_text_embedding(spark, sf):
 
 
 def _load_example_model():
-    """Word hashing in the place of a model."""
+    """Word hashing in the place of a model; a worker hashes a word once."""
+    import functools
     import hashlib
 
-    import numpy as np
+    @functools.lru_cache(maxsize=200_000)
+    def bucket(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % fv.EMBEDDING_DIM
 
-    def encode(texts: list[str]) -> np.ndarray:
-        matrix = np.zeros((len(texts), fv.EMBEDDING_DIM))
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                matrix[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % fv.EMBEDDING_DIM] += 1
-        return matrix
+    def encode(texts: list[str]):
+        return embedding.bucket_counts([[bucket(word) for word in text.lower().split()] for text in texts], fv.EMBEDDING_DIM)
 
     return encode
 
@@ -691,7 +694,7 @@ def a05_pr_summary(spark, sf):
 @query
 def a06_served_summary(spark, sf):
     return scores.served_summary(
-        b.analyses(spark, sf), b.file_rows(spark, sf), b.stored_issues(spark, sf)
+        b.all_analyses(spark, sf), b.file_rows(spark, sf), b.stored_issues(spark, sf)
     ).withColumn("languages_detected", _joined("languages_detected"))
 
 

@@ -245,10 +245,11 @@ tasks AS (
          CASE WHEN o_custkey % 9 <> 0 THEN o_orderdate END AS started_at,
          CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_minutes(o_custkey % 90) END AS completed_at
   FROM orders),
-analyses AS (
+all_analyses AS (
   SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 2) * 7 END AS total_files,
          CASE WHEN o_custkey % 3 = 1 THEN (o_custkey % 2) * 11 END AS total_issues, (o_custkey % 101)::DOUBLE AS quality_score
-  FROM orders WHERE o_totalprice > 60000),
+  FROM orders),
+analyses AS (SELECT * FROM all_analyses WHERE id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 60000)),
 task_events AS (
   SELECT user_id AS task_id, event_id AS seq, ts, event_type AS stage,
          CASE event_type WHEN 'signup' THEN 'processing' WHEN 'click' THEN 'retry' WHEN 'purchase' THEN 'completed'
@@ -408,11 +409,11 @@ FROM scored JOIN (SELECT file_id, high, medium FROM counts) USING (file_id) GROU
     "s07_cascade_delete": """
 , kept AS (SELECT id FROM tasks WHERE priority <> 'low')
 SELECT 'tasks' AS table_name, id AS parent, count(*) AS n FROM kept GROUP BY id
-UNION ALL SELECT 'pr_analyses', id, count(*) FROM analyses SEMI JOIN kept USING (id) GROUP BY id
+UNION ALL SELECT 'pr_analyses', id, count(*) FROM all_analyses SEMI JOIN kept USING (id) GROUP BY id
 UNION ALL SELECT 'file_analyses', pr_analysis_id, count(*) FROM file_rows
-  WHERE pr_analysis_id NOT IN (SELECT id FROM analyses WHERE id NOT IN (SELECT id FROM kept)) GROUP BY ALL
+  WHERE pr_analysis_id NOT IN (SELECT id FROM all_analyses WHERE id NOT IN (SELECT id FROM kept)) GROUP BY ALL
 UNION ALL SELECT 'issues', pr_analysis_id, count(*) FROM stored_issues
-  WHERE pr_analysis_id NOT IN (SELECT id FROM analyses WHERE id NOT IN (SELECT id FROM kept)) GROUP BY ALL""",
+  WHERE pr_analysis_id NOT IN (SELECT id FROM all_analyses WHERE id NOT IN (SELECT id FROM kept)) GROUP BY ALL""",
     "s08_webhook_stream": f"""
 , lenient AS ({LENIENT})
 SELECT CASE WHEN url_id % 3 = 0 THEN 'opened' ELSE 'synchronize' END AS action, (url_id % 9)::INTEGER AS pr_number,
@@ -451,7 +452,7 @@ SELECT id, title, description, line_number, column_number, rule_id, suggestion,
 SELECT id, status IN ('completed', 'failed', 'cancelled') AS is_completed, status = 'processing' AS is_running,
        status = 'failed' AND retry_count < 3 AS can_retry FROM tasks""",
     "f08b_analysis_predicates": """
-SELECT a.id, true AS is_completed, coalesce(n, 0) > 0 AS has_critical_issues FROM analyses a
+SELECT a.id, true AS is_completed, coalesce(n, 0) > 0 AS has_critical_issues FROM all_analyses a
 LEFT JOIN (SELECT pr_analysis_id AS id, count(*) AS n FROM stored_issues WHERE level = 'critical' GROUP BY 1) USING (id)""",
     "f09_duration": "SELECT id, (epoch_us(completed_at) - epoch_us(started_at)) / 1e6 AS seconds FROM tasks",
     "f10_location": """
@@ -610,7 +611,7 @@ SELECT pr_id, CASE WHEN critical > 0 THEN 'needs_work' WHEN mean >= 85 THEN 'exc
          'Code looks good! Consider adding tests if not present') AS recommendations,
        'PR ' || pr_id AS title, CASE WHEN pr_id % 3 <> 0 THEN 'dev' ELSE '' END AS author, files::INTEGER AS files_changed
 FROM rolled""",
-    "a06_served_summary": f", {SERVED} SELECT * FROM served_summary",
+    "a06_served_summary": f", {SERVED.replace('FROM analyses a', 'FROM all_analyses a')} SELECT * FROM served_summary",
     "a07_job_results": """
 SELECT p AS pr_id, total AS total_files, coalesce(done, 0) AS files_analyzed, coalesce(found, 0) AS total_issues, coalesce(critical, 0) AS critical_issues
 FROM (SELECT l_orderkey AS p, count(*) AS total FROM lineitem GROUP BY 1)

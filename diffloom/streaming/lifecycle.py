@@ -72,10 +72,12 @@ def start_webhook_intake(webhooks: DataFrame, path: str, checkpoint: str, **trig
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read once for both outputs
-        accepted, refused = validate_requests(batch)
-        accepted.write.mode("overwrite").parquet(f"{path}/accepted/batch_id={batch_id}")
-        refused.write.mode("overwrite").parquet(f"{path}/refused/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            accepted, refused = validate_requests(batch)
+            accepted.write.mode("overwrite").parquet(f"{path}/accepted/batch_id={batch_id}")
+            refused.write.mode("overwrite").parquet(f"{path}/refused/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         webhooks.writeStream.option("checkpointLocation", checkpoint)

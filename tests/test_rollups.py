@@ -160,3 +160,43 @@ def test_cascade_delete(spark):
     assert {n: sorted(r["id"] for r in df.collect()) for n, df in left.items()} == {
         "tasks": ["t2"], "pr_analyses": ["a2"], "file_analyses": ["f2"], "issues": ["i3", "i4"],
     }
+
+
+def stored(spark, n_issues):
+    ids = [(f"i{k}", "a1", "f1") for k in range(n_issues)] + [("j", "a2", "f2"), ("k", "a2", "f1")]
+    return {
+        "tasks": spark.createDataFrame([("t1",), ("t2",)], "id string"),
+        "pr_analyses": spark.createDataFrame([("a1", "t1"), ("a2", "t2")], "id string, task_id string"),
+        "file_analyses": spark.createDataFrame([("f1", "a1"), ("f2", "a2")], "id string, pr_analysis_id string"),
+        "issues": spark.createDataFrame(ids, "id string, pr_analysis_id string, file_analysis_id string"),
+    }
+
+
+def current(spark, base):
+    return {name: sorted(r["id"] for r in store.read_current(spark, base, name).collect()) for name in store.TABLES}
+
+
+def test_store_newest_run_of_a_review_wins_whole(spark, tmp_path):
+    base = str(tmp_path / "store")
+    store.write_run(stored(spark, 3), base, "run-1")
+    second = {name: rows.where("id <> 'a2' and id <> 't2'") for name, rows in stored(spark, 1).items()}
+    second["issues"] = second["issues"].where("pr_analysis_id = 'a1'")
+    second["file_analyses"] = second["file_analyses"].where("pr_analysis_id = 'a1'")
+    store.write_run(second, base, "run-2")
+    assert current(spark, base)["issues"] == ["i0", "j", "k"]
+    second["issues"] = second["issues"].limit(0)
+    store.write_run(second, base, "run-2")  # the same run again, now without findings
+    assert current(spark, base) == {
+        "tasks": ["t1", "t2"], "pr_analyses": ["a1", "a2"], "file_analyses": ["f1", "f2"], "issues": ["j", "k"]}
+
+
+def test_store_forgets_deleted_tasks(spark, tmp_path):
+    base, target = str(tmp_path / "store"), str(tmp_path / "compact")
+    store.write_run(stored(spark, 2), base, "run-1")
+    store.delete_tasks(spark, base, spark.createDataFrame([("t1",)], "id string"), "run-1")
+    left = {"tasks": ["t2"], "pr_analyses": ["a2"], "file_analyses": ["f2"], "issues": ["j"]}
+    assert current(spark, base) == left
+    store.compact(spark, base, target, "run-1")
+    assert current(spark, target) == left
+    store.write_run(stored(spark, 1), base, "run-2")
+    assert current(spark, base)["issues"] == ["i0", "j", "k"]
