@@ -10,11 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.session import checkpointed
-
 ISSUES_PER_PART = 500
 PARTS_PER_PAGE = 200
-BROADCAST_ROWS = 50_000  # oversized groups sent to every task: a few megabytes
 
 
 def gate_completed(tasks: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,17 +39,13 @@ def _bucket(value: Column, buckets: Column) -> Column:
     return (head % buckets).cast("bigint")
 
 
-def _with_pieces(rows: DataFrame, oversized: DataFrame, count: int, keys: list[str], name: str) -> DataFrame:
+def _with_pieces(rows: DataFrame, oversized: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds in how many pieces a group is cut: the value in ``oversized``, else 1.
 
-    ``count`` is the number of oversized groups. Usually there are none, and then
-    no join is made; a few are broadcast; many are left to a shuffled join, whose
-    hot keys Spark splits because a shuffle of its own follows.
+    Usually few groups are oversized or none; the join is left to the optimizer, which sees
+    the size at run time and splits hot keys, as a shuffle of its own follows.
     """
-    if count == 0:
-        return rows.withColumn(name, F.lit(1).cast("bigint"))
-    side = F.broadcast(oversized) if count <= BROADCAST_ROWS else oversized
-    return rows.join(side, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    return rows.join(oversized, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 
 def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, issues: DataFrame,
@@ -64,31 +57,29 @@ def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, i
     keep an empty list; issues without a file appear only in the totals.
 
     Tasks, files and issues meet in one shuffle by (analysis, page): both nesting
-    steps and the join with the task reuse that partitioning.
+    steps and the join with the task reuse that partitioning. Building the plan runs no job.
     """
     review, file_key = "pr_analysis_id", ["pr_analysis_id", "file_analysis_id"]
     linked = issues.filter(F.col("file_analysis_id").isNotNull())
     owned = files.withColumnRenamed("id", "file_analysis_id")
 
-    large_files = checkpointed(
+    large_files = (
         linked.groupBy(*file_key).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("bigint").alias("parts"))
         .filter(F.col("parts") > 1)
     )
-    n_large_files = large_files.count()
-    units = owned.groupBy(review).agg(F.count(F.lit(1)).alias("n"))
-    if n_large_files:
-        more = large_files.groupBy(review).agg(F.sum(F.col("parts") - 1).alias("n"))
-        units = units.unionByName(more).groupBy(review).agg(F.sum("n").alias("n"))
-    large_reviews = checkpointed(
-        units.select(review, F.ceil(F.col("n") / per_page).cast("bigint").alias("pages")).filter(F.col("pages") > 1)
+    # A file is one unit, and each further part of a large file is one more.
+    units = owned.select(review, F.lit(1).cast("bigint").alias("n")).unionByName(
+        large_files.select(review, (F.col("parts") - 1).alias("n"))
+    )
+    large_reviews = (
+        units.groupBy(review).agg(F.ceil(F.sum("n") / per_page).cast("bigint").alias("pages")).filter(F.col("pages") > 1)
     )
-    n_large_reviews = large_reviews.count()
 
     def in_parts(rows: DataFrame) -> DataFrame:
-        return _with_pieces(rows, large_files, n_large_files, file_key, "parts")
+        return _with_pieces(rows, large_files, file_key, "parts")
 
     def in_pages(rows: DataFrame) -> DataFrame:
-        return _with_pieces(rows, large_reviews, n_large_reviews, [review], "pages")
+        return _with_pieces(rows, large_reviews, [review], "pages")
 
     def placed(rows: DataFrame) -> DataFrame:
         key = F.concat_ws("#", F.col("file_analysis_id").cast("string"), F.col("part").cast("string"))

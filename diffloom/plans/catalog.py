@@ -203,9 +203,10 @@ def s08_webhook_stream(spark, sf):
     stream.start_webhook_intake(
         stream.read_webhooks(spark, f"{base}/in"), f"{base}/out", f"{base}/state"
     ).awaitTermination()
-    return spark.read.parquet(f"{base}/out/accepted").select(
-        "action", "pr_number", "title", "repo_owner", "repo_name", "priority"
-    )
+    accepted, refused = (spark.read.parquet(f"{base}/out/{side}") for side in ("accepted", "refused"))
+    return accepted.select(
+        "action", "pr_number", "title", "repo_owner", "repo_name", "priority", F.lit("").alias("reasons")
+    ).unionByName(refused.select("action", "pr_number", "title", _joined("reasons").alias("reasons")), allowMissingColumns=True)
 
 
 # --- normalisation and checks -----------------------------------------------------
@@ -613,6 +614,12 @@ def e05_duplicate_pairs(spark, sf):
     return similarity.find_duplicates(b.table(spark, sf, "embeddings"), "vec_id", threshold=0.3)
 
 
+@query
+def e05b_duplicates_in_key(spark, sf):
+    """Close vectors that carry the same label."""
+    return similarity.find_duplicates_within(b.table(spark, sf, "embeddings"), "label", "vec_id", threshold=0.3)
+
+
 @query
 def e06_code_blocks(spark, sf):
     return similarity.block_table(b.code_files(spark, sf))
@@ -822,9 +829,8 @@ def p07_unavailable_defaults(spark, sf):
 
 @query
 def p08_metric_merge(spark, sf):
-    answers = b.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("file_id"), F.lit('{"score": 6, "duplication_score": 0.9}').alias("answer")
-    )
+    """All answers of a conversation concern the file of its number."""
+    answers = b.responses(spark, sf).withColumn("file_id", F.expr("file_id div 1000"))
     measured = similarity.block_similarity(b.code_files(spark, sf))
     return rp.merge_block_metrics(rp.parse_quality(answers), measured).select(
         "file_id", "score", "semantic_duplicates", F.round("duplication_score", 6).alias("duplication_score"),

@@ -417,8 +417,10 @@ UNION ALL SELECT 'issues', pr_analysis_id, count(*) FROM stored_issues
     "s08_webhook_stream": f"""
 , lenient AS ({LENIENT})
 SELECT CASE WHEN url_id % 3 = 0 THEN 'opened' ELSE 'synchronize' END AS action, (url_id % 9)::INTEGER AS pr_number,
-       't' || url_id AS title, owner AS repo_owner, repo AS repo_name, 'normal' AS priority
-FROM lenient JOIN url_parts USING (url_id) WHERE (is_https OR is_ssh) AND url_id % 9 > 0""",
+       't' || url_id AS title, CASE WHEN reasons = '' THEN owner END AS repo_owner, CASE WHEN reasons = '' THEN repo END AS repo_name,
+       CASE WHEN reasons = '' THEN 'normal' END AS priority, reasons
+FROM lenient JOIN (SELECT url_id, concat_ws(',', CASE WHEN NOT (is_https OR is_ssh) THEN 'repo_url' END,
+                                            CASE WHEN url_id % 9 = 0 THEN 'pr_number' END) AS reasons FROM url_parts) USING (url_id)""",
     "f01_repo_url": """
 SELECT url_id, is_https OR is_ssh AS valid,
        CASE WHEN is_https THEN path_parts[1] WHEN is_ssh THEN ssh_owner END AS owner,
@@ -571,6 +573,11 @@ WHERE rank <= 5""",
 SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.v, b.v), 6) AS score, a.n * b.n AS n_pairs
 FROM groups a JOIN groups b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.3
 UNION ALL SELECT id, id, round(list_dot_product(v, v), 6), n * (n - 1) // 2 FROM groups WHERE n > 1""",
+    "e05b_duplicates_in_key": """
+, groups AS (SELECT label, min(vec_id) AS id, embedding::DOUBLE[] AS v, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label, embedding)
+SELECT a.label, a.id AS id_a, b.id AS id_b, round(list_dot_product(a.v, b.v), 6) AS score, a.n * b.n AS n_pairs
+FROM groups a JOIN groups b ON a.label = b.label AND a.id < b.id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.3
+UNION ALL SELECT label, id, id, round(list_dot_product(v, v), 6), n * (n - 1) // 2 FROM groups WHERE n > 1""",
     "e06_code_blocks": "SELECT file_id, block_no, block FROM blocks",
     "e07_block_similarity": BLOCK_PAIRS + """
 SELECT file_id, total_blocks, n AS duplicates_found, best AS max_similarity, round(mean, 9) AS avg_similarity,
@@ -673,8 +680,10 @@ UNION ALL SELECT file_id, 'free_text', 'improvement', 'medium', 'Code Improvemen
     "p07_unavailable_defaults": """
 SELECT file_id, 0.0::DOUBLE AS score, 0 AS n_issues, 'AI Service Not Configured' AS suggestion, 0.0::DOUBLE AS complexity FROM answers WHERE form = 3""",
     "p08_metric_merge": BLOCK_PAIRS + """
-SELECT file_id, 6.0::DOUBLE AS score, n AS semantic_duplicates, round(share, 6) AS duplication_score,
-       total_blocks AS code_blocks_analyzed FROM block_metrics""",
+SELECT a.file_id // 1000 AS file_id, CASE form WHEN 0 THEN turn + 0.5::DOUBLE WHEN 2 THEN 7.5 WHEN 3 THEN 0.0 END AS score,
+       coalesce(n, 0) AS semantic_duplicates, coalesce(round(share, 6), 0) AS duplication_score,
+       coalesce(total_blocks, 0) AS code_blocks_analyzed
+FROM answers a LEFT JOIN block_metrics b ON b.file_id = a.file_id // 1000""",
     "r01_latest_status": STATUS,
     "r01b_latest_status_stream": STATUS,
     "r02_progress_fold": """

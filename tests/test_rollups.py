@@ -99,9 +99,11 @@ def review_tables(spark, issue_rows, files):
     return tasks, analyses, file_table, issue_table(spark, issue_rows)
 
 
-@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
-def test_large_reviews_come_on_pages_and_stay_whole(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(results, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("broadcast_bytes", ["10m", "-1"])
+def test_large_reviews_come_on_pages_and_stay_whole(spark, request, broadcast_bytes):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_bytes)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual))
     files = [(f"f{n}", "a1", "python") for n in range(30)] + [("only", "a1", None)]
     rows = [(f"hot{n}", "a1", "f0", "high", n) for n in range(500)]
     rows += [(f"i{n}", "a1", f"f{n % 30}", "low", n) for n in range(90)]
