@@ -399,3 +399,9 @@ def test_pages(spark):
 ], ids=lambda f: f.__name__)
 def test_empty_tables(docs, operator):
     assert operator(docs.limit(0)).count() == 0
+
+
+def test_unseen_words_keep_a_chance_whatever_the_counts(spark):
+    # More words counted twice than once: the estimate of the first discount is negative.
+    counts = spark.createDataFrame([(k, n) for n, many in ((1, 2), (2, 9), (3, 1), (4, 8)) for k in range(many)], "word int, n int")
+    assert all(0 < d <= k + 1 for k, d in enumerate(kneser._discounts(counts)))
