@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.llm.blocks import NULL_ID, id_and_text, mixed, pack, unpack
+from diffloom.llm.words import sent_to_tasks
 from diffloom.operators.ordering import running_total
 from diffloom.session import checkpointed
 
@@ -123,8 +124,8 @@ def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length:
     end to end, and only a block's last sequence is filled up with end tokens. Sequences are
     numbered over all blocks, and a keyed Feistel network with cycle-walking over exactly that many
     numbers gives each its slot. ``shard`` and byte ``offset`` follow from the slot: every shard but the last
-    holds ``per_shard`` slots of ``2 * length`` bytes (``ids``, little endian). Rows come partitioned
-    by shard and sorted by slot. ``sequence`` is the place before the shuffle, ``doc_ids`` the documents inside.
+    holds ``per_shard`` slots of ``2 * length`` bytes (``ids``, little endian). Partition n holds shard n
+    and no other, sorted by slot. ``sequence`` is the place before the shuffle, ``doc_ids`` the documents inside.
 
     Token blocks are written once to the shared folder, so a lost executor changes no number. A null
     or empty text is an end token alone; null doc_ids stay null in ``doc_ids``; repeated
@@ -138,9 +139,11 @@ def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length:
     counts = blocks.select("block_id", F.ceil(F.col("n") / length).cast("bigint").alias("count"))
     placed = running_total(counts, [], [F.col("block_id")], F.col("count"), "_end", "_size")
     size = placed.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
-    numbered = blocks.join(placed.select("block_id", (F.col("_end") - F.col("count")).alias("first")), "block_id")
+    # One small row for each block of some megabytes: the tokens stay where they are.
+    firsts = sent_to_tasks(placed.select("block_id", (F.col("_end") - F.col("count")).alias("first")), blocks.count())
+    numbered = blocks.join(firsts, "block_id")
     made = numbered.mapInArrow(lambda b: _sequences(b, length, size, key, per_shard, end), SEQUENCE_SCHEMA)
-    return made.repartition(max(1, -(-size // per_shard)), "shard").sortWithinPartitions("shard", "slot")
+    return made.repartitionById(max(1, -(-size // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
 
 
 def _filesystem(folder: str):

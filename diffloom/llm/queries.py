@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, suffix
+from diffloom.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise.training_order(_table(spark, sf_dir, "documents"))
+    sequences = materialise.training_order(_table(spark, sf_dir, "documents"))
+    return materialise.written(sequences, scratch_path(spark, "shards"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from diffloom.llm import blocks, components, ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, suffix
+from diffloom.llm import blocks, components, ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, queries, suffix
 
 SF = "/root/testdata/sf0.001"
 BLANK_SPLIT = r"[^\x20\x09-\x0D]+"
@@ -372,6 +372,22 @@ def test_shards_round_trip(spark, docs, rows):
     assert materialise.read_shards(spark, folder, 64, 50, from_slot=70).count() == total - 70
 
 
+def test_training_order_query_leaves_files_to_resume_from(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="shards-")
+    monkeypatch.setattr(queries, "scratch_path", lambda _, name: f"{folder}/{name}")
+    rows = queries.op8_training_order(spark, SF)
+    assert "ids" not in rows.columns
+    rows = rows.collect()
+    back = materialise.read_shards(spark, f"{folder}/shards")
+    assert sorted(r.slot for r in back.select("slot").collect()) == sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert all(r.file == f"shard-{r.shard:06d}.bin" and r.offset == r.slot % materialise.SHARD_SLOTS * 2 * materialise.SEQUENCE for r in rows)
+
+
+def test_each_partition_of_the_training_order_is_one_shard(docs):
+    parts = materialise.training_order(docs, length=64, per_shard=50).select("shard", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(parts) > 2 and all(r.shard == r.part for r in parts)
+
+
 def test_main_text():
     page = """<html><head><title>T</title></head><body><header>Logo</header><div id="cookie-notice">We use cookies</div>
     <div class=wrap><div class="content"><h2>Title &amp; more</h2><p>First  para with <a href=a>a link</a> and text.
