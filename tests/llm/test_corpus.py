@@ -328,6 +328,23 @@ def test_license_scan(spark):
     assert all(r.containment == 1.0 for r in got)
 
 
+def test_license_scan_knows_notices_and_whole_texts(spark):
+    filler = " ".join(f"f{i}" for i in range(100))
+    gpl = ("This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as "
+           "published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.")
+    docs = {
+        1: ("GPL-3.0", gpl), 2: ("MIT", "This project is licensed under the MIT License."),
+        3: ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        4: ("GPL-3.0", (licenses.TEXTS / "GPL-3.0.txt").read_text()), 5: ("LGPL-3.0", (licenses.TEXTS / "LGPL-3.0.txt").read_text()),
+        6: ("MIT", "// SPDX-License-Identifier: MIT"), 7: ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+        8: ("LGPL-2.1", gpl.replace("General", "Lesser General").replace("program", "library").replace("version 3", "version 2.1")),
+    }
+    frame = spark.createDataFrame([(i, f"{filler}\n{t}\n{filler}") for i, (_, t) in docs.items()], "doc_id bigint, text string")
+    got = licenses.license_matches(frame, licenses.default_templates(spark)).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(i, name) for i, (name, _) in docs.items()}
+    assert all(r.at >= 100 for r in got)
+
+
 def test_kneser_ney_sums_to_one(spark):
     model = kneser.train(spark.createDataFrame([("a b a c a b d a b c d e f f f",), ("b a c d d a b e",), (None,)], "text string"))
     tokens, counts = kneser._token_rows([b"a b " + w for w in (b"a", b"b", b"c", b"d", b"e", b"f", b"zzz")] + [b"a b"])
