@@ -33,18 +33,19 @@ FURNITURE_NAMES = frozenset(
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
     """An element with its children and text pieces in page order, and the counts that density needs."""
 
-    __slots__ = ("tag", "parent", "parts", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside")
+    __slots__ = ("tag", "parent", "parts", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "named", "landmark")
 
     def __init__(self, tag: str, parent: "Node | None", furniture: bool):
         self.tag, self.parent, self.furniture = tag, parent, furniture
         self.parts: list = []
+        self.named, self.landmark = 0, False
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -56,13 +57,23 @@ def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
-        if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in FURNITURE_ROLES:
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I))
+        if name == "hidden":
+            return True
+    return False
+
+
+def _named(tag: str, attributes: str) -> int:
+    """2 if a whole class or id is a furniture name, 1 if a part of one is, else 0."""
+    if not attributes or tag in ("html", "body"):
+        return 0
+    names = {n for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for n in "".join(values).lower().split()}
+    if not FURNITURE_NAMES.isdisjoint(names):
+        return 2
+    return int(any(not FURNITURE_NAMES.isdisjoint(NAME.findall(n)) for n in names))
 
 
 def parse(page: str) -> Node:
@@ -105,6 +116,11 @@ def parse(page: str) -> Node:
             if node is not root and node.tag in same:
                 here = node.parent
         node = Node(tag, here, _is_furniture(tag, found.group(3), here.inside))
+        named = _named(tag, found.group(3))
+        if tag in ("article", "main"):
+            node.landmark = not named
+        else:
+            node.named = named
         here.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -114,8 +130,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> None:
-    """Characters, tags and their link parts of every node, bottom up, without furniture."""
+def _counted(root: Node) -> list[Node]:
+    """Characters, tags and their link parts of every node, bottom up, without furniture; nodes in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -126,17 +142,38 @@ def _measure(root: Node) -> None:
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len("".join(part.split()))
-            elif hasattr(part, "chars"):
+            elif not part.furniture and part.tag not in RAW:
                 node.chars += part.chars
                 node.tags += part.tags + 1
                 node.link_chars += part.link_chars
                 node.link_tags += part.link_tags + (part.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
-    # Menus that carry no name: lists of links and hardly anything else.
+    return order
+
+
+def _measure(root: Node) -> None:
+    """Decides which marked elements are furniture, and counts what is left.
+
+    A name marks an element; so does being a list of links and hardly anything else, outside an article. A mark is
+    void around an ``article`` or ``main`` or, on a page without them, around most of the text. A name that is only part of a
+    class or id is void on a quarter of the text or more that is as dense as the page.
+    """
+    order = _counted(root)
+    holds = set()
     for node in order:
-        if node.tag in ("ul", "ol", "dl", "table") and node.link_tags >= 3 and node.link_chars > 0.8 * node.chars:
-            node.furniture = True
+        if node.landmark:
+            while node is not None and node not in holds:
+                holds.add(node)
+                node = node.parent
+    usual = (root.chars - root.link_chars) / (root.tags + 1)
+    for node in order:
+        if node in holds or (not holds and 2 * node.chars > root.chars):
+            continue
+        links = node.tag in ("ul", "ol", "dl", "table") and not node.inside and node.link_tags >= 3 and node.link_chars > 0.8 * node.chars
+        thin = 4 * node.chars < root.chars or (node.chars - node.link_chars) / (node.tags + 1) < usual
+        node.furniture = links or node.named == 2 or (node.named == 1 and thin)
+    _counted(root)
 
 
 def _densities(body: Node) -> list[Node]:
@@ -221,8 +258,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     links; the subtree with the greatest sum of child densities holds the article. From
     there the selection widens towards the body while what stands beside it is as dense as the
     thinnest node on the path, or while it is still inside the same ``article`` or ``main``. Elements that are
-    page furniture by tag, role or name, and lists of nothing but links, count nowhere and are left
-    out inside the article too. Character references are decoded, white space in a block becomes one
+    page furniture by tag, role or confirmed name, and lists of nothing but links outside an article, count nowhere and
+    are left out inside the article too. Character references are decoded, white space in a block becomes one
     space, blocks are joined by a line feed; a line break starts a block.
 
     Null and empty pages give an empty text with 0 characters; unclosed and cut tags are repaired; null ids and

@@ -416,6 +416,20 @@ def test_main_text():
     assert extract.main_text("<body><nav>x</nav></body>") == ""
 
 
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "site has-sidebar", "menu-open", "with-comments"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_names_around_the_article_do_not_drop_it(wrapper, inner):
+    text = "A long sentence of the article that goes on for a while. " * 8
+    page = f"<body><div class='{wrapper}'><{inner}><p>{text}</p><p title='the hidden cost of x' class='overflow hidden md'>{text}</p></{inner}></div></body>"
+    assert extract.main_text(page) == "\n".join([text.strip()] * 2)
+
+
+def test_reference_lists_of_an_article_stay():
+    links = "".join(f"<li><a href=x>Reference number {i}</a>" for i in range(4))
+    page = f"<body><ul>{links}</ul><article><p>{'Some words of text. ' * 20}</p><ul>{links}</ul></article><p hidden>gone</p></body>"
+    assert extract.main_text(page).split("\n")[1:] == [f"Reference number {i}" for i in range(4)]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, got in zip(pages.orderBy("page_id").collect(), extract.extract_pages(pages).orderBy("page_id").collect()):
