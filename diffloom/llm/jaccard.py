@@ -174,13 +174,11 @@ def _postings(percent: int):
     return run
 
 
-def _product(left: list[np.ndarray], right: list[np.ndarray] | None, labels: np.ndarray, percent: int) -> np.ndarray:
-    """Components of two blocks of sets under their links, given labels that are linked already.
+def _product(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of sets, by places: inside the one block if ``side`` has one value, else across two blocks.
 
     Overlaps of one row with all columns are accumulated from the postings of its n-grams.
-    Rows of the largest component need no product: a link between components has an end outside it.
     """
-    sets = left + (right or [])
     sizes = np.array([len(s) for s in sets])
     column = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -188,68 +186,68 @@ def _product(left: list[np.ndarray], right: list[np.ndarray] | None, labels: np.
     grams, first = np.unique(column[order], return_index=True)
     bounds = np.append(first, len(column))
     owner = owner[order]
-    parent = np.unique(labels, return_inverse=True)[1]
-
-    def links_of(x: int) -> np.ndarray:
+    one = len(np.unique(side)) == 1
+    lefts, rights = [], []
+    for x in range(len(sets)) if one else np.flatnonzero(side == side.min()):
         at = np.searchsorted(grams, sets[x])
-        spans = bounds[at + 1] - bounds[at]
-        many = at[spans > 1]
+        many = at[bounds[at + 1] - bounds[at] > 1]
         if not len(many):
-            return many
+            continue
         n = bounds[many + 1] - bounds[many]
         places = np.repeat(bounds[many] - np.cumsum(n) + n, n) + np.arange(n.sum())
         overlap = np.bincount(owner[places], minlength=len(sets))
         near = (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
-        return np.flatnonzero(near & (100 * overlap >= percent * (sizes + sizes[x] - overlap)))
-
-    done = np.zeros(len(sets), bool)
-    while True:
-        present = np.bincount(parent)
-        if np.count_nonzero(present) == 1:
-            break
-        # Rows still to be multiplied: all but those of the largest component.
-        open_rows = np.flatnonzero(~done & (parent != present.argmax()))
-        if not len(open_rows):
-            break
-        x = int(open_rows[0])
-        done[x] = True
-        met = np.unique(parent[links_of(x)])
-        if len(met):
-            parent[np.isin(parent, met)] = parent[x]
-    return parent
-
-
-def _block_links(percent: int):
+        met = np.flatnonzero(near & (100 * overlap >= percent * (sizes + sizes[x] - overlap)))
+        met = met[met > x] if one else met[side[met] != side[x]]
+        lefts.append(np.full(len(met), x))
+        rights.append(met)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (none, none)
+
+
+def _block_pairs(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, rows in group.groupby(["cluster", "i", "j"], sort=False):
-            rows = rows.sort_values("node")
+        for (_, i, j), rows in group.groupby(["cluster", "i", "j"], sort=False):
+            side = rows["own"].to_numpy()
+            if i != j and len(np.unique(side)) == 1:
+                continue
             node = rows["node"].to_numpy()
-            sets = [np.frombuffer(g, np.uint64, offset=8) for g in rows["grams"]]
-            parent = _product(sets, None, rows["label"].to_numpy(), percent)
-            least = np.full(parent.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, parent, node)
-            out.append(pd.DataFrame({"a": least[parent], "b": node}))
+            x, y = _product([np.frombuffer(g, np.uint64, offset=8) for g in rows["grams"]], side, percent)
+            out.append(pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return run
 
 
 def _multiplied(rows: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """Links found in each pair of blocks of a cluster; small clusters share a task."""
+    """All linked pairs, found in each pair of blocks of a cluster; small clusters share a task."""
     sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = rows.join(sizes, "cluster").withColumn("_own", block).where("label is not null")
+    dealt = rows.join(sizes, "cluster").withColumn("_own", block)
     spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "cluster", "node", "grams", "label",
+        "cluster", "node", "grams", F.col("_own").alias("own"),
         F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
         F.when(F.col("_blocks") > 1, F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other")))
         .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(64, 4 * shuffle_partitions(rows))))).alias("_task"))
-    return spread.groupBy("_task").applyInPandas(_block_links(percent), "a bigint, b bigint")
+    return spread.groupBy("_task").applyInPandas(_block_pairs(percent), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
+    """``jaccard_links`` without the numbers of links."""
+    return jaccard_links(docs, shingle_words, percent, block_docs).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_pairs(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Every linked pair of distinct sets once, ``doc_a`` and ``doc_b`` being the least doc_id of each set's rows."""
+    _, classes, pairs = _linked(docs, shingle_words, percent, block_docs)
+    names = classes.select("class", "node")
+    named = pairs.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b")
+    return named.select(_nulled(F.least("_a", "_b")).alias("doc_a"), _nulled(F.greatest("_a", "_b")).alias("doc_b"))
+
+
+def jaccard_links(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``n_links``, the number of other rows it links to, of every row.
 
     Two rows link when ``100 * intersection >= percent * union`` of their distinct shingle
     sets; ``component_id`` is the least doc_id reachable by links, its own included. The matrix of
@@ -263,8 +261,29 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
 
     Words are compared by 64-bit hashes, sets by 128-bit sums. Rows without words have no
     shingles and their own component; a null doc_id is smaller than any number; repeated rows fall
-    into one component; an empty table gives no rows.
+    into one component and link to each other; an empty table gives no rows.
     """
+    sets, named, pairs = _linked(docs, shingle_words, percent, block_docs)
+    linked = components(pairs)
+    keys = ["n_shingles", "mark_a", "mark_b"]
+    joined = named.join(linked.withColumnRenamed("node", "_node"), F.col("class") == F.col("_node")).select(
+        "class", F.col("node").alias("doc"), "component")
+    least = joined.groupBy("component").agg(F.min("doc").alias("component_id"))
+    found = joined.join(least, "component").select("class", "component_id")
+    both = pairs.union(pairs.select("b", "a"))
+    met = both.join(named.select(F.col("class").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("class")).agg(
+        F.sum("n_rows").alias("_met"))
+    by_class = named.join(found, "class", "left").join(met, "class", "left").select(
+        "class", F.coalesce("component_id", "node").alias("component_id"),
+        (F.col("n_rows") - 1 + F.coalesce("_met", F.lit(0))).alias("n_links"))
+    own = sets.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64(*keys)))
+    return own.join(by_class, "class", "left").select(
+        _nulled(F.col("doc_id")).alias("doc_id"), "n_shingles",
+        _nulled(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _linked(docs: DataFrame, shingle_words: int, percent: int, block_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's marks, classes of equal sets with their least doc_id and number of rows, linked pairs of classes."""
     blocks = text_blocks(docs)
     shards = shard_count(blocks, 0.75)
     asked = per_block(blocks, lambda row: _gram_request(row, shards, shingle_words), ASK_SCHEMA)
@@ -274,7 +293,8 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     filled = F.coalesce("doc_id", F.lit(NULL_ID))
     keys = ["n_shingles", "mark_a", "mark_b"]
     sets = table.select(filled.alias("doc_id"), *keys)
-    classes = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"))
+    classes = sets.where("n_shingles > 0").groupBy(*keys).agg(
+        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows"))
     # One row of the matrix for each class; its n-grams come from any of its documents.
     # Nodes are numbered by class, so that rows which share a doc_id stay apart.
     rows = table.where("grams is not null").groupBy(*keys).agg(F.min("grams").alias("grams"))
@@ -282,19 +302,9 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     postings = checkpointed(rows.select("node", "grams").mapInArrow(_postings(percent), "gram bigint, node bigint"))
     leaders = postings.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     clusters = components(postings.join(leaders, "gram").select("a", F.col("node").alias("b")).distinct())
-    grouped = rows.join(clusters, "node").select(
-        "node", F.col("component").alias("cluster"), "grams", F.col("node").alias("label"))
-    linked = components(_multiplied(grouped, percent, block_docs).where("a <> b"))
-
-    named = classes.select(F.xxhash64(*keys).alias("class"), "node")
-    joined = named.join(linked, named["class"] == linked["node"]).select("class", named["node"].alias("doc"), F.col("component"))
-    least = joined.groupBy("component").agg(F.min("doc").alias("component_id"))
-    found = joined.join(least, "component").select("class", "component_id")
-    by_class = named.join(found, "class", "left").select("class", F.coalesce("component_id", "node").alias("component_id"))
-    own = sets.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64(*keys)))
-    return own.join(by_class, "class", "left").select(
-        _nulled(F.col("doc_id")).alias("doc_id"), "n_shingles",
-        _nulled(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    grouped = rows.join(clusters, "node").select("node", F.col("component").alias("cluster"), "grams")
+    pairs = checkpointed(_multiplied(grouped, percent, block_docs))
+    return sets, classes.select(F.xxhash64(*keys).alias("class"), "node", "n_rows"), pairs
 
 
 def _nulled(column: Column) -> Column:

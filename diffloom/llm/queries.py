@@ -28,7 +28,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+    return jaccard.jaccard_links(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

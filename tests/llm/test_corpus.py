@@ -146,6 +146,26 @@ def test_jaccard_components(docs, rows, block_docs):
     assert ordered(got.collect()) == ordered(brute_components(rows, 4, 85))
 
 
+@pytest.mark.parametrize("block_docs", [2048, 8])
+def test_jaccard_links_are_all_counted(docs, rows, block_docs):
+    def shingles(text):
+        w = words(text)
+        return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+
+    def near(a, b):
+        return a and b and 100 * len(a & b) >= 85 * len(a | b)
+
+    sets = [shingles(t) for _, t in rows]
+    expected = [(r[0], sum(bool(near(a, b)) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets))]
+    assert ordered(jaccard.jaccard_links(docs, 4, 85, block_docs).select("doc_id", "n_links").collect()) == ordered(expected)
+    least = {}
+    for (doc_id, _), a in zip(rows, sets):
+        least[a] = min(least.get(a, 10**9), -1 if doc_id is None else doc_id)
+    pairs = [tuple(sorted((least[a], least[b]))) for a, b in itertools.combinations(least, 2) if near(a, b)]
+    got = jaccard.jaccard_pairs(docs, 4, 85, block_docs).collect()
+    assert ordered(tuple(None if i == -1 else i for i in p) for p in pairs) == ordered(got)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(90, 90), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(links).collect()}
