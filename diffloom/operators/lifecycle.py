@@ -32,6 +32,13 @@ def _progress_set() -> Column:
     )
 
 
+def _times_seen(events: DataFrame, what: Column) -> Column:
+    """How many different events of a task these are; a table has each event once already."""
+    if not events.isStreaming:
+        return F.count_if(what)
+    return F.size(F.collect_set(F.when(what, F.struct("seq")))).cast("bigint")
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Current state, last reported progress and last error per task."""
     state, reported = F.col("state"), F.col("progress")
@@ -50,7 +57,7 @@ def progress_fold(events: DataFrame) -> DataFrame:
     logged = F.col("message").isNotNull() & (F.col("message") != "") & F.col("progress").isNotNull()
     return events.groupBy("task_id").agg(
         F.coalesce(F.max_by(value, F.when(value.isNotNull(), _order())), F.lit(0)).alias("progress"),
-        F.count_if(logged).alias("log_entries"),
+        _times_seen(events, logged).alias("log_entries"),
     )
 
 
@@ -64,15 +71,15 @@ def progress_log(events: DataFrame) -> DataFrame:
 def fold_tasks(events: DataFrame, max_retries: int = fv.MAX_RETRIES) -> DataFrame:
     """Task state after all events: status, retries, progress, times and error.
 
-    Delivery is at least once: a table's redelivered events are folded first, a stream
-    goes through the stream's own deduplication.
+    Delivery is at least once: a table's redelivered events are folded first; a stream keeps the
+    numbers of a task's retries in its state, so no redelivery counts however late it comes, and no late event is dropped.
     """
     if not events.isStreaming:
         events = without_redeliveries(events)
     state, value = F.col("state"), _progress_set()
     folded = events.groupBy("task_id").agg(
         F.coalesce(F.max_by("state", F.when(state.isNotNull(), _order())), F.lit("pending")).alias("_last"),
-        F.count_if(state == "retry").alias("retry_count"),
+        _times_seen(events, state == "retry").alias("retry_count"),
         F.coalesce(F.max_by(value, F.when(value.isNotNull(), _order())), F.lit(0)).alias("progress"),
         F.max(F.when(state == "processing", F.col("ts"))).alias("started_at"),
         F.max(F.when(state.isin("completed", "failed"), F.col("ts"))).alias("completed_at"),

@@ -877,7 +877,7 @@ def r03_task_fold(spark, sf):
 @query
 def r03b_task_fold_stream(spark, sf):
     base = scratch_path(spark, "fold")
-    stream.start_task_fold(b.event_stream(spark, sf), f"{base}/out", f"{base}/state").awaitTermination()
+    stream.start_task_fold(_redelivered(b.event_stream(spark, sf)), f"{base}/out", f"{base}/state").awaitTermination()
     return _times(stream.read_latest(spark, f"{base}/out"))
 
 

@@ -104,3 +104,13 @@ def test_redelivery_changes_nothing(spark):
     many = rows.union(rows).union(rows).union(rows)
     assert lifecycle.fold_tasks(many).first()["retry_count"] == 1
     assert lifecycle.progress_fold(many).first()["log_entries"] == 1
+
+
+def test_redelivery_changes_nothing_on_a_stream(spark, tmp_path):
+    table = events(spark, ("t", "retry", None, None), ("t", None, 5, "m"))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for _ in range(2):
+        table.union(table).coalesce(1).write.mode("append").parquet(source)
+        stream.start_task_fold(stream.read_task_events(spark, source), out, state).awaitTermination()
+    row = stream.read_latest(spark, out).first()
+    assert (row["status"], row["retry_count"]) == ("retry", 1)
