@@ -31,8 +31,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a passage of the benchmark."""
-    hits = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontam.contaminated(docs, benchmark)
+    kept = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    # Rows without a doc_id are told apart by their text.
+    keyed = nameless.withColumn("_key", F.xxhash64("text"))
+    found = decontam.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
+    clean = keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
+    return kept.where("doc_id is not null").unionByName(clean)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

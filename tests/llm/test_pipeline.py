@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from diffloom.llm import queries
@@ -25,6 +26,13 @@ def test_stages_take_effect(spark, tmp_path):
     assert slots == list(range(len(slots)))
 
 
+def test_contaminated_rows_without_a_doc_id_go(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    rows = [(None, item, "en", "s", 1), (None, "clean text", "en", "s", 1), (1, item, "en", "s", 1), (2, "other text", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.text for r in corpus_pipeline.decontamination(spark, docs, SF).collect()) == ["clean text", "other text"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     from oracle_check import differences, open_tables
