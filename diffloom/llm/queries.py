@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, suffix
+from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, runs, suffix
 from diffloom.session import scratch_path
 
 
@@ -56,6 +57,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth text by the CRC of its doc_id continues, from some word on, in repetitions of the words from there."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    number = F.floor(code / 10).cast("bigint")
+
+    def tailed(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        at = number % F.greatest(n, F.lit(1))
+        period = F.floor((n - at) / (number % 8 + 3)).cast("bigint") + 1
+        return F.array_join(F.transform(words, lambda word, i: F.when(i < at, word).otherwise(
+            F.get(words, (at + (i - at) % period).cast("int")))), " ")
+
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # A one-element array binds the words, so that they are split once.
+    tail = F.get(F.transform(F.array(words), tailed), F.lit(0))
+    return docs.select("doc_id", F.when(code % 10 == 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    longer = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    # Runs come by start, then period, so the first of equal exponents stays.
+    best = F.aggregate("runs", none, lambda kept, r: F.when(kept.isNull() | longer(r, kept), r).otherwise(kept))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("_best.start").alias("start"), F.col("_best.length").alias("length"), F.col("_best.period").alias("period"),
+        F.expr("(1000 * _best.length) div _best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op2_text_density": op2_text_density,
@@ -67,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_period_runs": op11_period_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
