@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, negatives, runs, suffix
+from diffloom.llm import ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, negatives, outliers, runs, suffix
 from diffloom.session import scratch_path
 
 
@@ -90,6 +90,11 @@ def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *outliers.STATISTICS, "base_failed", "kept")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_period_runs": op11_period_runs,
+    "op12_robust_outliers": op12_robust_outliers,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
