@@ -23,7 +23,7 @@ TRUSTED_WORDS, TRUSTED_LINES = 100, 4
 #: Coordinates, and the spread that is added to each: differences well below it never make an outlier.
 COORDINATES = {"length": 0.1, "word": 0.01, "symbols": 0.3, "lines": 0.08, "repeats": 0.1}
 BINS = 64  #: distance bins of an octave
-STEPS = 30
+FALL = 1e-3  #: a concentration step is taken while it lowers the logarithm of the determinant by more than this
 BROADCAST_GROUPS = 50_000
 SALTS = 16
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -254,7 +254,7 @@ def covariance_estimates(groups: _Groups) -> DataFrame:
 
     The start is the median and quartile distance of each coordinate. Each concentration step takes the CORE
     share of a cell's rows nearest to the present estimate (with the rest of the last distance bin) and estimates anew;
-    determinants fall until no cell's falls further. The reweighted estimate takes all rows within the WEIGHTED quantile.
+    a cell is at its end when its determinant falls no further. The reweighted estimate takes all rows within the WEIGHTED quantile.
     """
     # A cell of LEAST_ROWS rows has an estimate; the last cell may be smaller.
     large = groups.cells.groupBy("cell").agg(F.sum("n").alias("_n")).where(F.col("_n") >= LEAST_ROWS).select("cell")
@@ -270,18 +270,23 @@ def covariance_estimates(groups: _Groups) -> DataFrame:
                                    **{f"c{i}{j}": F.lit(0.0) for j in range(i)}})
     cells = _kept(_factored(start), "start")
 
-    def next_cells(limit: float | None, scale: float) -> DataFrame:
-        return _kept(_estimated(_moments(measured(groups, cells).where("not base_failed and d is not null"), limit), scale), "estimate")
+    def rows_near(cells: DataFrame) -> DataFrame:
+        return measured(groups, cells).where("not base_failed and d is not null")
 
     raw = consistency(SIZE, CORE)
-    for step in range(STEPS):
-        newer = next_cells(None, raw)
-        falling = step == 0 or not newer.select("cell", F.col("log_det").alias("_new")).join(cells, "cell").where(
-            F.col("_new") < F.col("log_det") - 1e-6).isEmpty()
-        cells = newer
-        if not falling:
-            break
-    return next_cells(chi_square_quantile(SIZE, WEIGHTED), consistency(SIZE, WEIGHTED))
+    state = ["middle", *MEANS, *FACTORS, "log_det"]
+    cells = cells.withColumn("log_det", F.lit(float("inf"))).withColumn("falls", F.lit(True))
+    while not cells.where("falls").isEmpty():
+        # Cells at their end keep their estimate, and their rows are left alone.
+        moving = cells.where("falls")
+        newer = _estimated(_moments(rows_near(moving), None), raw).select("cell", F.struct(*state).alias("_new"))
+        moved = moving.select("cell", F.struct(*state).alias("_old")).join(newer, "cell").withColumn(
+            "falls", F.col("_new.log_det") < F.col("_old.log_det") - FALL)
+        moved = moved.select("cell", F.when(F.col("falls"), F.col("_new")).otherwise(F.col("_old")).alias("_s"), "falls").select(
+            "cell", "_s.*", "falls")
+        cells = _kept(moved.unionByName(cells.where("not falls")), "estimate")
+    within = chi_square_quantile(SIZE, WEIGHTED)
+    return _kept(_estimated(_moments(rows_near(cells.drop("falls")), within), consistency(SIZE, WEIGHTED)), "estimate")
 
 
 def measured(groups: _Groups, cells: DataFrame) -> DataFrame:

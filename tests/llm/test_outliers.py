@@ -63,15 +63,14 @@ def plain_verdicts(rows):
         far = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
         mean = np.array([quantile(c, 0.5) for c in x.T])
         cov = np.diag([((quantile(c, 0.75) - quantile(c, 0.25)) / 1.349) ** 2 for c in x.T]) + spread
-        det, steps = None, 0
+        det = math.inf
         while True:
             bins = np.floor(outliers.BINS * np.log2(1 + far(mean, cov)))
             core = x[bins <= np.sort(bins)[math.ceil(outliers.CORE * len(x)) - 1]]
-            mean, cov = core.mean(axis=0), outliers.consistency(size, outliers.CORE) * np.cov(core.T, bias=True) + spread
-            newer, steps = np.linalg.slogdet(cov)[1], steps + 1
-            if steps > 1 and newer >= det - 1e-6 or steps == outliers.STEPS:
+            newer = outliers.consistency(size, outliers.CORE) * np.cov(core.T, bias=True) + spread
+            if np.linalg.slogdet(newer)[1] >= det - outliers.FALL:
                 break
-            det = newer
+            mean, cov, det = core.mean(axis=0), newer, np.linalg.slogdet(newer)[1]
         near = x[far(mean, cov) <= outliers.chi_square_quantile(size, outliers.WEIGHTED)]
         mean, cov = near.mean(axis=0), outliers.consistency(size, outliers.WEIGHTED) * np.cov(near.T, bias=True) + spread
         for k, d in zip(own, far(mean, cov)):
