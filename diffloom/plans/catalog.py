@@ -159,6 +159,28 @@ def s06b_review_run(spark, sf):
     )
 
 
+@query
+def s06c_snapshots(spark, sf):
+    """A second run that dies before its commit changes nothing; once it commits, older snapshots stay as they were."""
+    base = scratch_path(spark, "snapshots")
+    files = b.file_rows(spark, sf)
+    tables = {"pr_analyses": b.all_analyses(spark, sf), "file_analyses": files, "issues": b.stored_issues(spark, sf)}
+    first = store.write_run(tables, base, "run-1")
+    some = {name: rows.where(F.col("id" if name == "pr_analyses" else "pr_analysis_id") % 3 == 0) for name, rows in tables.items()}
+    some["issues"] = some["issues"].where("severity <> 'low'")
+    store.stage(some, base, "run-2")  # written, and never committed
+
+    def counted(moment: str, seen: store.Snapshot) -> DataFrame:
+        rows = [seen.current(name).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(moment).alias("moment"), F.lit(name).alias("table_name"), "n") for name in tables]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    interrupted = store.Snapshot(spark, base)
+    store.write_run(some, base, "run-2")
+    return counted("interrupted", interrupted).unionByName(counted("committed", store.Snapshot(spark, base))).unionByName(
+        counted("as of the first", store.Snapshot(spark, base, first)))
+
+
 @query
 def s07_cascade_delete(spark, sf):
     """Stored, deleted and read back: rows that are left for each parent."""
@@ -174,7 +196,8 @@ def s07_cascade_delete(spark, sf):
         base, "run-1",
     )
     store.delete_tasks(spark, base, tasks.filter(F.col("priority") == "low"), "run-1")
-    remaining = {name: store.read_current(spark, base, name) for name in store.TABLES}
+    seen = store.Snapshot(spark, base)
+    remaining = {name: seen.current(name) for name in store.TABLES}
 
     def counted(name: str, parent: str) -> DataFrame:
         return remaining[name].groupBy(F.col(parent).alias("parent")).agg(F.count(F.lit(1)).alias("n")).select(

@@ -406,6 +406,12 @@ SELECT pr_id, count(*) AS total_files_analyzed, sum(n)::BIGINT AS total_issues_f
        sum(code_lines)::BIGINT AS total_lines_analyzed, sum(high)::BIGINT AS high_issues, sum(medium)::BIGINT AS medium_issues,
        sum(n - critical - high - medium)::BIGINT AS low_issues, trunc(avg(quality))::DOUBLE AS quality_score
 FROM scored JOIN (SELECT file_id, high, medium FROM counts) USING (file_id) GROUP BY pr_id""",
+    "s06c_snapshots": """
+, whole AS (SELECT 'pr_analyses' AS table_name, count(*) AS n FROM all_analyses UNION ALL SELECT 'file_analyses', count(*) FROM file_rows
+            UNION ALL SELECT 'issues', count(*) FROM stored_issues)
+SELECT 'interrupted' AS moment, * FROM whole UNION ALL SELECT 'as of the first', * FROM whole
+UNION ALL SELECT 'committed', * FROM whole WHERE table_name <> 'issues'
+UNION ALL SELECT 'committed', 'issues', count(*) FROM stored_issues WHERE pr_analysis_id % 3 <> 0 OR level <> 'low'""",
     "s07_cascade_delete": """
 , kept AS (SELECT id FROM tasks WHERE priority <> 'low')
 SELECT 'tasks' AS table_name, id AS parent, count(*) AS n FROM kept GROUP BY id

@@ -105,14 +105,16 @@ def test_landing_files(spark, tmp_path):
     pages = land("files", {"pr_id": "9", "page": 1, "files": [{"filename": "a.py"}, {"filename": "b.py", "patch": "+x"}]},
                  {"pr_id": "9", "page": 51, "files": [{"filename": "late.py"}]})
     files = landing.read_pr_files(spark, pages)
-    assert [(r["file_index"], r["filename"]) for r in files.orderBy("file_index").collect()] == [(0, "a.py"), (1, "b.py")]
+    assert [(r["file_index"], r["filename"]) for r in files.orderBy("file_index").collect()] == [
+        (0, "a.py"), (1, "b.py"), (5000, "late.py")]
 
     packed = base64.encodebytes("é\nx".encode()).decode()
     fetched = landing.read_file_contents(
         spark, land("contents", {"pr_id": "9", "filename": "a.py", "encoding": "base64", "content": packed})
     )
     contents = landing.attach_contents(files, fetched)
-    assert {r["filename"]: r["content"] for r in contents.collect()} == {"a.py": "é\nx", "b.py": ""}
+    assert {r["filename"]: r["content"] for r in contents.collect()} == {
+        "a.py": "é\nx", "b.py": "", "late.py": ""}
 
     repos = landing.read_repositories(spark, land("repos", {"owner": "o", "repo": "r", "language": "Go"}))
     known = spark.createDataFrame([("o", "r"), ("o", "none")], "repo_owner string, repo_name string")
