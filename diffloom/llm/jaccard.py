@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ from diffloom.llm.blocks import (
 from diffloom.llm.components import components
 from diffloom.session import checkpointed
 
-BLOCK_DOCS = 2048  #: documents on a side of one product
+BLOCK_DOCS = 1024  #: sets on a side of one product
+BLOCK_GRAMS = 4_000_000  #: n-grams on a side of one product, about; long sets make smaller blocks
 PIECE = 1 << 19
 
 
@@ -131,10 +133,13 @@ def _bound(size: int, percent: int) -> int:
 def _ordered(row: dict, shards: int, size: int, percent: int) -> pa.RecordBatch:
     """Each document's set size and fingerprint; for sets that can link to another, the n-grams, rarest first."""
     ids, sets, marks, grams, _ = _sets_of(row, size)
+    _, lens, body = read_block(row)
     rank = np.zeros(len(grams), np.uint8)
     if len(grams):
         _, order = _sent_order(grams, shards)
         rank[order] = np.concatenate([unpack(r, np.uint8) for r in replies_in_order(row["ranks"])])
+    ends = np.cumsum(lens)
+    texts = [hashlib.md5(body[a:b]).hexdigest() for a, b in zip((ends - lens).tolist(), ends.tolist())]
     kept = []
     for shingles in sets:
         own = rank[np.searchsorted(grams, shingles)]
@@ -149,13 +154,13 @@ def _ordered(row: dict, shards: int, size: int, percent: int) -> pa.RecordBatch:
             pa.array([None if i == NULL_ID else int(i) for i in ids], pa.int64()),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-            pa.array(kept, pa.binary()),
+            pa.array(texts), pa.array(kept, pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "mark_a", "mark_b", "grams"],
+        names=["doc_id", "n_shingles", "mark_a", "mark_b", "text_md5", "grams"],
     )
 
 
-SETS_SCHEMA = "doc_id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, grams binary"
+SETS_SCHEMA = "doc_id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, text_md5 string, grams binary"
 
 
 def _postings(percent: int):
@@ -174,8 +179,8 @@ def _postings(percent: int):
     return run
 
 
-def _product(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of sets, by places: inside the one block if ``side`` has one value, else across two blocks.
+def _product(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set with the later ones it links to, by places: inside the one block if ``side`` has one value, else across two blocks.
 
     Overlaps of one row with all columns are accumulated from the postings of its n-grams.
     """
@@ -187,7 +192,6 @@ def _product(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np
     bounds = np.append(first, len(column))
     owner = owner[order]
     one = len(np.unique(side)) == 1
-    lefts, rights = [], []
     for x in range(len(sets)) if one else np.flatnonzero(side == side.min()):
         at = np.searchsorted(grams, sets[x])
         many = at[bounds[at + 1] - bounds[at] > 1]
@@ -199,38 +203,57 @@ def _product(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np
         near = (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
         met = np.flatnonzero(near & (100 * overlap >= percent * (sizes + sizes[x] - overlap)))
         met = met[met > x] if one else met[side[met] != side[x]]
-        lefts.append(np.full(len(met), x))
-        rights.append(met)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (none, none)
+        if len(met):
+            yield int(x), met
+
 
+def _products(percent: int, made: Callable[[pd.DataFrame, Iterator[tuple[int, np.ndarray]]], pd.DataFrame], empty: pd.DataFrame):
+    """``made`` of every block product in a task."""
 
-def _block_pairs(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [empty]
         for (_, i, j), rows in group.groupby(["cluster", "i", "j"], sort=False):
             side = rows["own"].to_numpy()
-            if i != j and len(np.unique(side)) == 1:
-                continue
-            node = rows["node"].to_numpy()
-            x, y = _product([np.frombuffer(g, np.uint64, offset=8) for g in rows["grams"]], side, percent)
-            out.append(pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            if i == j or len(np.unique(side)) > 1:
+                out.append(made(rows, _product([np.frombuffer(g, np.uint64, offset=8) for g in rows["grams"]], side, percent)))
+        return pd.concat(out)
 
     return run
 
 
-def _multiplied(rows: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """All linked pairs, found in each pair of blocks of a cluster; small clusters share a task."""
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("_blocks"))
+def _pairs_of(rows: pd.DataFrame, links: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    node = rows["node"].to_numpy()
+    found = [(np.full(len(met), node[x]), node[met]) for x, met in links]
+    a, b = (np.concatenate(c) if c else node[:0] for c in (list(zip(*found)) or ((), ())))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _sums_of(rows: pd.DataFrame, links: Iterator[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    """For each set with a link in this product: the rows of the sets it links to, and the least place it is connected to."""
+    node, n_rows = rows["node"].to_numpy(), rows["n_rows"].to_numpy()
+    met_rows, tree = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for x, met in links:
+        met_rows[x] += n_rows[met].sum()
+        met_rows[met] += n_rows[x]
+        trees = np.unique(tree[np.append(met, x)])
+        if len(trees) > 1:  # happens once less than there are sets
+            tree[np.isin(tree, trees)] = trees[0]
+    linked = met_rows > 0
+    return pd.DataFrame({"node": node[linked], "met": met_rows[linked], "root": node[tree[linked]]})
+
+
+def _dealt(rows: DataFrame, block_docs: int) -> DataFrame:
+    """Every pair of blocks of a cluster, in one task; small clusters share a task."""
+    grams = F.octet_length("grams") / 8
+    sizes = rows.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(grams) / BLOCK_GRAMS)).cast("int").alias("_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     dealt = rows.join(sizes, "cluster").withColumn("_own", block)
-    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "cluster", "node", "grams", F.col("_own").alias("own"),
+    return dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "cluster", "node", "n_rows", "grams", F.col("_own").alias("own"),
         F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
         F.when(F.col("_blocks") > 1, F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other")))
         .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(64, 4 * shuffle_partitions(rows))))).alias("_task"))
-    return spread.groupBy("_task").applyInPandas(_block_pairs(percent), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -239,8 +262,13 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
 
 
 def jaccard_pairs(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Every linked pair of distinct sets once, ``doc_a`` and ``doc_b`` being the least doc_id of each set's rows."""
-    _, classes, pairs = _linked(docs, shingle_words, percent, block_docs)
+    """Every linked pair of distinct sets once, ``doc_a`` and ``doc_b`` being the least doc_id of each set's rows.
+
+    As many rows as there are pairs; the other functions here need only sums of them, which the products add up themselves.
+    """
+    _, classes, grouped = _matrix(docs, shingle_words, percent)
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    pairs = _dealt(grouped, block_docs).groupBy("_task").applyInPandas(_products(percent, _pairs_of, none), "a bigint, b bigint")
     names = classes.select("class", "node")
     named = pairs.join(names.toDF("a", "_a"), "a").join(names.toDF("b", "_b"), "b")
     return named.select(_nulled(F.least("_a", "_b")).alias("doc_a"), _nulled(F.greatest("_a", "_b")).alias("doc_b"))
@@ -257,33 +285,39 @@ def jaccard_links(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bl
     ``n - bound + 1`` n-grams; sets that share none, even through others, fall into
     different clusters. (3) In a cluster, blocks of rows are multiplied by blocks of rows: overlaps
     accumulate over the postings of a row, and pairs below the bound of the two sizes are discarded.
-    Equal sets are one row of the matrix; a cluster of any size is dealt out as pairs of blocks.
+    Equal sets are one row of the matrix; a cluster of any size is dealt out as pairs of blocks. A product returns, for
+    each of its rows, the number of rows it links to and a tree of its links, never the pairs.
 
     Words are compared by 64-bit hashes, sets by 128-bit sums. Rows without words have no
     shingles and their own component; a null doc_id is smaller than any number; repeated rows fall
     into one component and link to each other; an empty table gives no rows.
     """
-    sets, named, pairs = _linked(docs, shingle_words, percent, block_docs)
-    linked = components(pairs)
-    keys = ["n_shingles", "mark_a", "mark_b"]
-    joined = named.join(linked.withColumnRenamed("node", "_node"), F.col("class") == F.col("_node")).select(
-        "class", F.col("node").alias("doc"), "component")
-    least = joined.groupBy("component").agg(F.min("doc").alias("component_id"))
-    found = joined.join(least, "component").select("class", "component_id")
-    both = pairs.union(pairs.select("b", "a"))
-    met = both.join(named.select(F.col("class").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("class")).agg(
-        F.sum("n_rows").alias("_met"))
-    by_class = named.join(found, "class", "left").join(met, "class", "left").select(
-        "class", F.coalesce("component_id", "node").alias("component_id"),
+    found = _rows(docs, shingle_words, percent, block_docs)
+    return found.select(_nulled(F.col("doc_id")).alias("doc_id"), "n_shingles", _nulled(F.col("component_id")).alias("component_id"), "n_links")
+
+
+def _rows(docs: DataFrame, shingle_words: int, percent: int, block_docs: int) -> DataFrame:
+    """Every row with its text's MD5, the class that names its component (null without words), least doc_id and number of links."""
+    sets, classes, grouped = _matrix(docs, shingle_words, percent)
+    none = pd.DataFrame({"node": [], "met": [], "root": []}, dtype="int64")
+    # Linear in rows and blocks: a group of n near copies makes n rows for each block that it meets, not its pairs.
+    sums = checkpointed(_dealt(grouped, block_docs).groupBy("_task").applyInPandas(
+        _products(percent, _sums_of, none), "node bigint, met bigint, root bigint"))
+    linked = components(sums.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    met = sums.groupBy(F.col("node").alias("class")).agg(F.sum("met").alias("_met"))
+    of_class = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").join(met, "class", "left").select(
+        "class", "node", F.coalesce("component", "class").alias("component"),
         (F.col("n_rows") - 1 + F.coalesce("_met", F.lit(0))).alias("n_links"))
-    own = sets.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64(*keys)))
+    least = of_class.groupBy("component").agg(F.min("node").alias("component_id"))
+    by_class = of_class.join(least, "component").select("class", "component", "component_id", "n_links")
+    own = sets.withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "mark_a", "mark_b")))
     return own.join(by_class, "class", "left").select(
-        _nulled(F.col("doc_id")).alias("doc_id"), "n_shingles",
-        _nulled(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "doc_id", "text_md5", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _linked(docs: DataFrame, shingle_words: int, percent: int, block_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their set's marks, classes of equal sets with their least doc_id and number of rows, linked pairs of classes."""
+def _matrix(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's marks, classes of equal sets with their least doc_id, and the matrix: a class, its cluster and n-grams."""
     blocks = text_blocks(docs)
     shards = shard_count(blocks, 0.75)
     asked = per_block(blocks, lambda row: _gram_request(row, shards, shingle_words), ASK_SCHEMA)
@@ -292,31 +326,35 @@ def _linked(docs: DataFrame, shingle_words: int, percent: int, block_docs: int)
 
     filled = F.coalesce("doc_id", F.lit(NULL_ID))
     keys = ["n_shingles", "mark_a", "mark_b"]
-    sets = table.select(filled.alias("doc_id"), *keys)
+    sets = table.select(filled.alias("doc_id"), "text_md5", *keys)
     classes = sets.where("n_shingles > 0").groupBy(*keys).agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows"))
     # One row of the matrix for each class; its n-grams come from any of its documents.
     # Nodes are numbered by class, so that rows which share a doc_id stay apart.
-    rows = table.where("grams is not null").groupBy(*keys).agg(F.min("grams").alias("grams"))
-    rows = checkpointed(rows.select(F.xxhash64(*keys).alias("node"), "grams"))
+    rows = table.where("grams is not null").groupBy(*keys).agg(F.min("grams").alias("grams"), F.count(F.lit(1)).alias("n_rows"))
+    rows = checkpointed(rows.select(F.xxhash64(*keys).alias("node"), "n_rows", "grams"))
     postings = checkpointed(rows.select("node", "grams").mapInArrow(_postings(percent), "gram bigint, node bigint"))
     leaders = postings.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     clusters = components(postings.join(leaders, "gram").select("a", F.col("node").alias("b")).distinct())
-    grouped = rows.join(clusters, "node").select("node", F.col("component").alias("cluster"), "grams")
-    pairs = checkpointed(_multiplied(grouped, percent, block_docs))
-    return sets, classes.select(F.xxhash64(*keys).alias("class"), "node", "n_rows"), pairs
+    grouped = rows.join(clusters, "node").select("node", F.col("component").alias("cluster"), "n_rows", "grams")
+    return sets, classes.select(F.xxhash64(*keys).alias("class"), "node", "n_rows"), grouped
 
 
 def _nulled(column: Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
-def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their component in ``found``; rows with equal doc_id are one document.
+def without_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the first by doc_id, then by the MD5 of its text, stays.
 
-    Rows without a doc_id are told apart by their text.
+    Rows are told apart by doc_id and text, so texts that share a doc_id, or have none, are judged one by one; a missing
+    doc_id comes after all others. Rows alike in both are one. Rows without words link with nothing and stay.
     """
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    text_key = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
-    return rows.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    found = _rows(docs.select("doc_id", "text"), shingle_words, percent, BLOCK_DOCS)
+    order = F.struct((F.col("doc_id") == NULL_ID).alias("nameless"), "doc_id", "text_md5")
+    first = found.where("component is not null").groupBy("component").agg(F.min(order).alias("w")).select("w.doc_id", "w.text_md5")
+    alone = found.where("component is null").select("doc_id", "text_md5").distinct()
+    stays = first.unionByName(alone).toDF("_id", "_md5")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_text": F.md5(F.coalesce("text", F.lit("")))})
+    kept = keyed.join(stays, (F.col("_key") == F.col("_id")) & (F.col("_text") == F.col("_md5")), "left_semi")
+    return kept.dropDuplicates(["_key", "_text"]).drop("_key", "_text")
