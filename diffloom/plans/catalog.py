@@ -16,7 +16,7 @@ from diffloom import schemas
 from diffloom.functions import diffs as dx
 from diffloom.functions import normalize as nz
 from diffloom.functions import text as tx
-from diffloom.operators import diffs, embedding, issues, lifecycle, ordering, prompts, quality
+from diffloom.operators import diffs, duplicates, embedding, issues, lifecycle, ordering, prompts, quality
 from diffloom.operators import files as fo
 from diffloom.operators import responses as rp
 from diffloom.operators import results, rules, scores, similarity
@@ -25,6 +25,7 @@ from diffloom.plans import review
 from diffloom.session import scratch_path
 from diffloom.sources import landing, store
 from diffloom.streaming import lifecycle as stream
+from diffloom.streaming import retries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -643,6 +644,14 @@ def e05b_duplicates_in_key(spark, sf):
     return similarity.find_duplicates_within(b.table(spark, sf, "embeddings"), "label", "vec_id", threshold=0.3)
 
 
+@query
+def e05c_duplicate_classes(spark, sf):
+    """Classes of close vectors with numbers of links, through bands of one hyperplane each."""
+    members, _ = duplicates.duplicate_classes(
+        b.table(spark, sf, "embeddings"), "vec_id", threshold=0.3, recall=1 - 1e-6, bits=1)
+    return members.withColumnRenamed("id", "vec_id")
+
+
 @query
 def e06_code_blocks(spark, sf):
     return similarity.block_table(b.code_files(spark, sf))
@@ -928,6 +937,20 @@ def r05b_deduplication_stream(spark, sf):
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("task_id", "seq", "state")
 
 
+@query
+def r05c_retries_stream(spark, sf):
+    """Retries of a stream that delivers each twice, as they come due; a last event far ahead lets all of them pass."""
+    base = scratch_path(spark, "retries")
+    b.event_batch(spark, sf).write.parquet(f"{base}/in")
+    last = F.max("ts") + F.expr("interval 2 hours")
+    spark.read.parquet(f"{base}/in").groupBy().agg(F.lit(0).cast("bigint").alias("task_id"), last.alias("ts")).select(
+        "task_id", F.lit(-1).cast("bigint").alias("seq"), "ts", F.lit("view").alias("stage")).write.mode("append").parquet(f"{base}/in")
+    events = spark.readStream.schema(b.event_batch(spark, sf).schema).parquet(f"{base}/in")
+    retries.start_retries(_redelivered(events), f"{base}/out", f"{base}/state", lifetime="3650 days").awaitTermination()
+    due = spark.read.parquet(f"{base}/out/due")
+    return due.select("task_id", "seq", "attempt", "retry_allowed", F.unix_micros("retry_at").alias("retry_at"))
+
+
 @query
 def r06_failure_isolation(spark, sf):
     form = F.col("doc_id") % 5

@@ -584,6 +584,14 @@ UNION ALL SELECT id, id, round(list_dot_product(v, v), 6), n * (n - 1) // 2 FROM
 SELECT a.label, a.id AS id_a, b.id AS id_b, round(list_dot_product(a.v, b.v), 6) AS score, a.n * b.n AS n_pairs
 FROM groups a JOIN groups b ON a.label = b.label AND a.id < b.id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.3
 UNION ALL SELECT label, id, id, round(list_dot_product(v, v), 6), n * (n - 1) // 2 FROM groups WHERE n > 1""",
+    "e05c_duplicate_classes": """
+, groups AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS v, count(*) AS n FROM embeddings GROUP BY embedding),
+links AS (SELECT a.id AS a, b.id AS b, b.n FROM groups a JOIN groups b ON a.id <> b.id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.3),
+reached AS (SELECT * FROM (WITH RECURSIVE r(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.other) SELECT * FROM r)),
+classes AS (SELECT id, least(id, min(other)) AS class_id FROM reached GROUP BY id),
+counted AS (SELECT g.id, g.v, coalesce(class_id, g.id) AS class_id, g.n - 1 + coalesce(m.n, 0) AS n_links
+            FROM groups g LEFT JOIN classes c USING (id) LEFT JOIN (SELECT a AS id, sum(n)::BIGINT AS n FROM links GROUP BY a) m ON m.id = g.id)
+SELECT e.vec_id, g.id AS first_id, g.class_id, g.n_links FROM embeddings e JOIN counted g ON e.embedding::DOUBLE[] = g.v WHERE n_links > 0""",
     "e06_code_blocks": "SELECT file_id, block_no, block FROM blocks",
     "e07_block_similarity": BLOCK_PAIRS + """
 SELECT file_id, total_blocks, n AS duplicates_found, best AS max_similarity, round(mean, 9) AS avg_similarity,
@@ -712,6 +720,9 @@ SELECT task_id, seq, n + 1 AS attempt, CASE WHEN state = 'retry' THEN n <= 3 END
        CASE WHEN state = 'retry' THEN epoch_us(ts) + 60000000 END AS retry_at
 FROM (SELECT *, (sum(coalesce(state = 'retry', false)::INTEGER) OVER (PARTITION BY task_id ORDER BY ts, seq))::BIGINT AS n FROM task_events)""",
     "r05b_deduplication_stream": "SELECT task_id, seq, state FROM task_events",
+    "r05c_retries_stream": """
+SELECT task_id, seq, n + 1 AS attempt, n <= 3 AS retry_allowed, epoch_us(ts) + 60000000 AS retry_at
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, seq) AS n FROM task_events WHERE state = 'retry')""",
     "r06_failure_isolation": """
 SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'invalid base64' WHEN 2 THEN 'invalid text' WHEN 4 THEN 'missing content' ELSE 'analysed' END AS outcome
 FROM documents""",
