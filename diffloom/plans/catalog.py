@@ -19,7 +19,7 @@ from diffloom.functions import text as tx
 from diffloom.operators import diffs, duplicates, embedding, issues, lifecycle, ordering, prompts, quality
 from diffloom.operators import files as fo
 from diffloom.operators import responses as rp
-from diffloom.operators import results, rules, scores, similarity
+from diffloom.operators import results, rules, scores, similarity, vector_index
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
@@ -633,6 +633,19 @@ def e04_similar_code(spark, sf):
     return similarity.find_similar(targets, corpus, "item_id", "doc_id", threshold=0.4)
 
 
+@query
+def e04b_index_search(spark, sf):
+    """A stored index that takes a second lot of vectors and answers for every fiftieth vector, all cells probed."""
+    path = scratch_path(spark, "index")
+    vectors = b.table(spark, sf, "embeddings")
+    early = F.col("vec_id") % 2 == 0
+    vector_index.build(vectors.where(early), path, "vec_id")
+    index = vector_index.VectorIndex(spark, path)
+    index.add(vectors.where(~early), "vec_id")
+    targets = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("target_id"), "embedding")
+    return index.search(targets, "target_id", "vec_id", threshold=0.2)
+
+
 @query
 def e05_duplicate_pairs(spark, sf):
     return similarity.find_duplicates(b.table(spark, sf, "embeddings"), "vec_id", threshold=0.3)

@@ -574,6 +574,11 @@ pairs AS (SELECT (t.k - 1) // 2 AS item_id, c.k // 2 AS doc_id, round(sum(t.w *
 SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score >= 0.4)
 WHERE rank <= 5""",
+    "e04b_index_search": """
+, target_scores AS (SELECT t.vec_id AS target_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score
+             FROM embeddings t JOIN embeddings e ON t.vec_id % 50 = 0),
+target_ranks AS (SELECT *, (row_number() OVER (PARTITION BY target_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM target_scores WHERE score >= 0.2)
+SELECT target_id, vec_id, score, rank FROM target_ranks WHERE rank <= 5""",
     "e05_duplicate_pairs": """
 , groups AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS v, count(*) AS n FROM embeddings GROUP BY embedding)
 SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.v, b.v), 6) AS score, a.n * b.n AS n_pairs
