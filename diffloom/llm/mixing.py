@@ -9,6 +9,7 @@ from diffloom.operators.ordering import running_total
 from diffloom.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]*"
 WEIGHTS = (5, 2, 1)
 MOST = 3  #: a source gives at most this many times its size
 BLOCK_WORDS = 16
@@ -109,7 +110,11 @@ def shard_quotas(targets: DataFrame, total_words: int, block_words: int, shards:
 def _scattered(block: Column, blocks: Column, seed: int) -> Column:
     """A seeded one-to-one shuffle of block numbers: steps of a size prime to the number of blocks."""
     step = F.col("_step")
-    return F.pmod(block * step + F.lit(seed), blocks)
+    wide = lambda c: c.cast("decimal(19,0)")
+    # A step is below 2**31, so products of larger numbers only leave 64 bits.
+    near = F.pmod(block * step + F.lit(seed), blocks)
+    far = F.pmod(wide(block) * wide(step) + wide(F.lit(seed)), wide(blocks)).cast("bigint")
+    return F.when(block < 2**31, near).otherwise(far)
 
 
 def _planned(docs: DataFrame, carry: list[Column], weights: tuple[int, ...], most: int, block_words: int,
@@ -187,9 +192,10 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     plan = _planned(docs, carry, weights, most, block_words, shards, seed)
     text = F.col("_row.text")
     chosen = F.filter(
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)),
+        # Each word with the blanks before it, so that lines stay lines.
+        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BLANKS + WORD), F.lit(0)),
         lambda _, i: _scattered(F.floor((F.col("_start") + i) / block_words).cast("bigint"), F.col("_blocks"), seed) < F.col("_rest"))
-    rest = F.when(F.col("_rest") == F.col("_blocks"), text).when(F.col("_rest") > 0, F.array_join(chosen, " "))
+    rest = F.when(F.col("_rest") == F.col("_blocks"), text).when(F.col("_rest") > 0, F.regexp_replace(F.array_join(chosen, ""), "^" + BLANKS, ""))
     whole = plan.where("size > 0 and _passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int"))))
     cut = plan.where("size > 0 and _rest > 0").withColumn("_text", rest).where("_text <> ''")
     anew = {"text": F.col("_text")}

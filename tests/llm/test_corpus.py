@@ -510,3 +510,29 @@ def test_unseen_words_keep_a_chance_whatever_the_counts(spark):
     # More words counted twice than once: the estimate of the first discount is negative.
     counts = spark.createDataFrame([(k, n) for n, many in ((1, 2), (2, 9), (3, 1), (4, 8)) for k in range(many)], "word int, n int")
     assert all(0 < d <= k + 1 for k, d in enumerate(kneser._discounts(counts)))
+
+
+def test_mixed_texts_keep_their_lines(spark):
+    """Cut texts are pieces of the text with its own blanks; the words taken are those of the plan."""
+    rng = random.Random(11)
+    rows = [(i, "".join(f"w{k}" + rng.choice([" ", "\n", "\t\t", " \n"]) for k in range(rng.randint(1, 90))), f"s{i % 4}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs, block_words=8).collect()}
+    got, cut = collections.Counter(), 0
+    for r in mixing.mixed_texts(docs, block_words=8).collect():
+        whole = rows[r.doc_id][1]
+        pieces = re.findall(r"\S+\s*", r.text)
+        assert all(p.rstrip() in whole.split() for p in pieces) and r.text == r.text.lstrip()
+        blanks = {w: b for b, w in re.findall(r"(\s*)(\S+)", whole)}
+        assert all(b == blanks[w] for b, w in re.findall(r"(\s*)(\S+)", r.text)[1:])
+        got[r.doc_id] += len(pieces)
+        cut += r.text != whole
+    assert {i: n for i, n in taken.items() if n} == dict(got) and cut > 5
+
+
+def test_blocks_of_huge_sources_are_scattered(spark):
+    """Numbers of blocks far beyond 32 bits neither overflow nor meet."""
+    n, step = 10**11 + 7, 1327217909
+    rows = spark.range(0, n, n // 500).select(F.col("id").alias("b"), F.lit(step).cast("bigint").alias("_step"))
+    got = rows.select("b", mixing._scattered(F.col("b"), F.lit(n), 20).alias("at")).collect()
+    assert [(r["b"] * step + 20) % n for r in got] == [r["at"] for r in got] and len({r["at"] for r in got}) == len(got)
