@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML and customary names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody "
@@ -30,9 +30,14 @@ FURNITURE_NAMES = frozenset(
     "notice popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus respond "
     "replies sidebar rail widget widgets related recommended recommendations nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs pagination pager footer masthead toolbar skip".split())
+COMMENT_NAMES = frozenset("comment comments commentlist commentarea disqus respond replies".split())
+STATE_NAMES = frozenset("with has no open closed enabled disabled allow".split())  # "with-comments" says something of what holds comments
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# No part gives back what it took, and what is unfinished reaches to the end of the page: a page is read once, whatever is in it.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z0-9]+")
 
@@ -67,66 +72,84 @@ def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def _named(tag: str, attributes: str) -> int:
-    """2 if a whole class or id is a furniture name, 1 if a part of one is, else 0."""
+    """3 for reader comments, 2 if a whole class or id is a furniture name, 1 if a part of one is, else 0."""
     if not attributes or tag in ("html", "body"):
         return 0
     names = {n for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for n in "".join(values).lower().split()}
+    parts = [set(NAME.findall(n)) for n in names]
+    if any(not COMMENT_NAMES.isdisjoint(p) and STATE_NAMES.isdisjoint(p) for p in parts):
+        return 3
     if not FURNITURE_NAMES.isdisjoint(names):
         return 2
-    return int(any(not FURNITURE_NAMES.isdisjoint(NAME.findall(n)) for n in names))
+    return int(any(not FURNITURE_NAMES.isdisjoint(p) for p in parts))
+
+
+class _Open:
+    """The open elements from the root down, with the depths of each tag and of all blocks, so that no search walks up."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at ``depth`` and all in it."""
+        for node in reversed(self.nodes[depth:]):
+            self.depths[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+        del self.nodes[depth:]
 
 
 def parse(page: str) -> Node:
-    """The element tree; unclosed and stray tags are repaired the way browsers do for common cases."""
-    root = here = Node("#root", None, False)
+    """The element tree; unclosed, cut and stray tags are repaired the way browsers do for common cases. Time is linear in the page."""
+    root = Node("#root", None, False)
+    opened = _Open(root)
     at, end = 0, len(page)
     while at < end:
         found = TOKEN.search(page, at)
         if not found:
-            here.parts.append(page[at:])
+            opened.nodes[-1].parts.append(page[at:])
             break
         if found.start() > at:
-            here.parts.append(page[at : found.start()])
+            opened.nodes[-1].parts.append(page[at : found.start()])
         at = found.end()
         tag = found.group(2)
         if not tag:
             continue
         tag = tag.lower()
         if found.group(1):
-            node = here
-            while node is not root and node.tag != tag:
-                # A stray end tag does not close the table cell, list item or section around it.
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            depth = opened.deepest((tag,))
+            # A stray end tag does not close the table cell, list item or section around it.
+            if depth and (tag in BLOCK or depth > opened.blocks[-1]):
+                opened.close(depth)
             continue
-        if tag in CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+        if tag in CLOSES_P and opened.nodes[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         if tag in SAME_CLOSES:
-            node, stop, same = here, SAME_CLOSES[tag].split(), SIBLINGS.get(tag, (tag,))
-            while node is not root and node.tag not in stop and node.tag not in same:
-                node = node.parent
-            if node is not root and node.tag in same:
-                here = node.parent
+            depth = opened.deepest(SIBLINGS.get(tag, (tag,)))
+            if depth > opened.deepest(tuple(SAME_CLOSES[tag].split())):
+                opened.close(depth)
+        here = opened.nodes[-1]
         node = Node(tag, here, _is_furniture(tag, found.group(3), here.inside))
-        named = _named(tag, found.group(3))
+        node.named = _named(tag, found.group(3))
         if tag in ("article", "main"):
-            node.landmark = not named
-        else:
-            node.named = named
+            node.landmark = not node.named
+            # Other names do not make an article furniture.
+            node.named = node.named if node.named == 3 else 0
         here.parts.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
         elif tag not in VOID:
-            here = node
+            opened.push(node)
     return root
 
 
@@ -157,7 +180,7 @@ def _measure(root: Node) -> None:
 
     A name marks an element; so does being a list of links and hardly anything else, outside an article. A mark is
     void around an ``article`` or ``main`` or, on a page without them, around most of the text. A name that is only part of a
-    class or id is void on a quarter of the text or more that is as dense as the page.
+    class or id is void on a quarter of the text or more that is as dense as the page. Reader comments go however long they are.
     """
     order = _counted(root)
     holds = set()
@@ -168,11 +191,13 @@ def _measure(root: Node) -> None:
                 node = node.parent
     usual = (root.chars - root.link_chars) / (root.tags + 1)
     for node in order:
+        if node.named == 3 and node not in holds:
+            node.furniture = True
         if node in holds or (not holds and 2 * node.chars > root.chars):
             continue
         links = node.tag in ("ul", "ol", "dl", "table") and not node.inside and node.link_tags >= 3 and node.link_chars > 0.8 * node.chars
         thin = 4 * node.chars < root.chars or (node.chars - node.link_chars) / (node.tags + 1) < usual
-        node.furniture = links or node.named == 2 or (node.named == 1 and thin)
+        node.furniture = links or node.named >= 2 or (node.named == 1 and thin)
     _counted(root)
 
 
@@ -262,7 +287,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     are left out inside the article too. Character references are decoded, white space in a block becomes one
     space, blocks are joined by a line feed; a line break starts a block.
 
-    Null and empty pages give an empty text with 0 characters; unclosed and cut tags are repaired; null ids and
+    Null and empty pages give an empty text with 0 characters; unclosed tags are closed, a cut tag is no text; null ids and
     urls stay null; repeated rows give their rows again; an empty table gives no rows.
     """
 

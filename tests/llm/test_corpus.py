@@ -8,6 +8,8 @@ import math
 import random
 import re
 import tempfile
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -411,6 +413,63 @@ def test_kneser_ney_sums_to_one(spark):
     assert sum(math.exp(x[2]) for x in logs) == pytest.approx(1.0, abs=1e-5)
 
 
+def brute_perplexity(train, text):
+    """Interpolated modified Kneser-Ney over dictionaries, one token at a time."""
+    def tokens(t):
+        return ["<", "<", *re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", (t or "").encode().lower()), ">"]
+
+    triples = Counter(g for t in train for ts in [tokens(t)] for g in zip(ts, ts[1:], ts[2:]))
+    pairs = Counter(g[1:] for g in triples)
+    words = Counter(g[1:] for g in pairs)
+
+    def level(counts):
+        n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
+        d = [0.5, 1.0, 1.5]
+        if all(n[:3]):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [x if 0 < x <= k + 1 else d[k] for k in range(3) for x in [k + 1 - (k + 2) * y * n[k + 1] / n[k]]]
+        total, left = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            left[g[:-1]] += d[min(v, 3) - 1]
+
+        def chance(g, below):
+            if g[:-1] not in total:
+                return below
+            own = counts[g] - d[min(counts[g], 3) - 1] if g in counts else 0
+            return (own + left[g[:-1]] * below) / total[g[:-1]]
+
+        return chance
+
+    one, two, three = level(words), level(pairs), level(triples)
+    ts = tokens(text)
+    logs = [math.log(three(g, two(g[1:], one(g[2:], 1 / (len(words) + 1))))) for g in zip(ts, ts[1:], ts[2:])]
+    return math.exp(-sum(logs) / len(logs))
+
+
+@pytest.mark.parametrize("model_rows", [kneser.MODEL_ROWS, 0], ids=["in tasks", "joined"])
+def test_perplexity_equals_brute_force_with_models_of_any_size(spark, docs, model_rows):
+    texts = [r.text for r in docs.orderBy("doc_id").select("text").limit(60).collect()]
+    train, asked = texts[:40], [*texts[40:], *texts[:3], None, "", " \n", "Zzz qqq!", "a " * 3000, texts[41]]
+    model = kneser.train(spark.createDataFrame([(t,) for t in train], "text string"), model_rows)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(asked)], "doc_id bigint, text string, _row string").repartition(3)
+    got = {r.doc_id: r for r in kneser.perplexities(rows, model, ["doc_id", "text"]).collect()}
+    assert len(got) == len(asked)
+    for i, text in enumerate(asked):
+        assert got[i].text == text and got[i].perplexity == pytest.approx(brute_perplexity(train, text), rel=1e-4)
+    assert kneser.perplexities(rows.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_long_trusted_texts_are_fitted_whole(spark):
+    # 25 texts of 20,000 words and almost as many distinct triples: above the bound of a model in tasks.
+    row = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(30011)).cast("string")))
+    docs = spark.range(25).select(F.col("id").alias("doc_id"), row.alias("text"), F.lit("en").alias("lang"))
+    model = kneser.train(docs, 1_000_000)
+    assert isinstance(model, kneser.ShardedModel) and model.rows > 1_000_000
+    got = kneser.perplexities(docs, model, ["doc_id"]).collect()
+    assert len(got) == 25 and all(r.n_tokens == 20001 and math.isfinite(r.perplexity) for r in got)
+
+
 def test_quality_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -488,6 +547,43 @@ def test_reference_lists_of_an_article_stay():
     assert extract.main_text(page).split("\n")[1:] == [f"Reference number {i}" for i in range(4)]
 
 
+@pytest.mark.parametrize("name", ["comments", "comment-list", "reader-comments", "disqus thread"])
+@pytest.mark.parametrize("inner", ["article", "div class=post"])
+def test_reader_comments_go_however_long_they_are(name, inner):
+    text, said = "A long sentence of the article that goes on for a while. " * 8, "<p>A reader says a good many things about all of this.</p>" * 60
+    end = inner.split()[0]
+    expected = text.strip()
+    assert extract.main_text(f"<body><{inner}><p>{text}</p></{end}><div class='{name}'>{said}</div></body>") == expected
+    assert extract.main_text(f"<body><{inner}><p>{text}</p><section id='{name}'>{said}</section></{end}></body>") == expected
+    one = f"<article class=comment>{said}</article>"
+    assert extract.main_text(f"<body><{inner}><p>{text}</p></{end}>{one}{one}</body>") == expected
+
+
+def test_formulas_and_fallbacks_of_an_article_stay_and_cut_tags_go():
+    page = "<body><article><p>Let <math><mi>x</mi></math> be.</p><noscript>Plain form.</noscript><p>End of it.</p><div cla"
+    assert extract.main_text(page) == "Let x be.\nPlain form.\nEnd of it."
+    assert extract.main_text("<p>It's <a href=x title=it's>one</a> of <b data-x='>'>two</b>, 1 <2 and a< b") == "It's one of two, 1 <2 and a< b"
+    assert extract.main_text("<p>one</ x>two<!-->three<!-- a > b --!>four<!-- cut") == "onetwothreefour"
+
+
+@pytest.mark.parametrize("page", [
+    "<a '" * 100000, "<a x=\"y'" * 50000, "<span>" * 40000 + "</b>" * 40000, "<b><div>" + "<span>" * 40000 + "</b>" * 40000, "<" * 400000,
+    "<!--" * 100000, "<!-" * 100000, "<p><ul><li>x" * 20000, "</" * 200000, "<script>" * 50000, "&" * 400000,
+], ids=lambda p: p[:8])
+def test_hostile_pages_take_time_in_proportion_to_their_length(page):
+    began = time.monotonic()
+    extract.main_text(page)
+    assert time.monotonic() - began < 5
+
+
+def test_page_table_cases(spark):
+    rows = [(1, "u", "<p>one"), (1, "u", "<p>one"), (None, None, "<p>two"), (2, "v", None), (3, None, "")]
+    pages = spark.createDataFrame([(*r, "clash", 7) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, extract.extract_pages(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "one", 3)] * 2 + [(None, None, "two", 3), (2, "v", "", 0), (3, None, "", 0)], key=str)
+    assert extract.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, got in zip(pages.orderBy("page_id").collect(), extract.extract_pages(pages).orderBy("page_id").collect()):
