@@ -19,7 +19,7 @@ from diffloom.functions import text as tx
 from diffloom.operators import diffs, duplicates, embedding, issues, lifecycle, ordering, prompts, quality
 from diffloom.operators import files as fo
 from diffloom.operators import responses as rp
-from diffloom.operators import results, rules, scores, similarity, vector_index
+from diffloom.operators import results, rules, scores, similar_sets, similarity, vector_index
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
@@ -534,6 +534,22 @@ def t19_word_jaccard(spark, sf):
     )
 
 
+@query
+def t19b_similar_documents(spark, sf):
+    """Every document against every other by their word sets, as classes with numbers of links."""
+    words = b.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("words"))
+    members, _ = similar_sets.similar_sets(words, "doc_id", "words", 80)
+    return members.select(F.col("id").alias("doc_id"), "first_id", "class_id", "n_links")
+
+
+@query
+def t19c_similar_pairs(spark, sf):
+    """Pairs of different word sets that share 80 % of their words."""
+    words = b.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("words"))
+    _, pairs = similar_sets.similar_sets(words, "doc_id", "words", 80)
+    return pairs.select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
 # --- diffs ------------------------------------------------------------------------
 
 

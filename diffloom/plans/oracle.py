@@ -546,6 +546,25 @@ FROM scored""",
 SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE
     len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END, 9) AS similarity
 FROM sets a JOIN sets b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",
+    "t19b_similar_documents": f"""
+, entries AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda x: x <> ''))) AS w FROM documents),
+sets AS (SELECT w, min(doc_id) AS first_id, count(*) AS copies FROM entries GROUP BY w),
+tokens AS (SELECT first_id, len(w) AS n, unnest(w) AS word FROM sets),
+pairs AS (SELECT a.first_id AS id_a, b.first_id AS id_b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS total
+    FROM tokens a JOIN tokens b ON a.word = b.word AND a.first_id < b.first_id GROUP BY 1, 2 HAVING 100 * common >= 80 * total),
+links AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reached AS (SELECT * FROM (WITH RECURSIVE r(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.other) SELECT * FROM r)),
+classes AS (SELECT id, least(id, min(other)) AS class_id FROM reached GROUP BY id),
+met AS (SELECT l.a AS id, sum(s.copies) AS others FROM links l JOIN sets s ON s.first_id = l.b GROUP BY l.a)
+SELECT e.doc_id, s.first_id, coalesce(c.class_id, s.first_id) AS class_id, (s.copies - 1 + coalesce(m.others, 0))::BIGINT AS n_links
+FROM entries e JOIN sets s ON s.w = e.w LEFT JOIN classes c ON c.id = s.first_id LEFT JOIN met m ON m.id = s.first_id""",
+    "t19c_similar_pairs": f"""
+, entries AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda x: x <> ''))) AS w FROM documents),
+sets AS (SELECT w, min(doc_id) AS first_id, count(*) AS copies FROM entries GROUP BY w),
+tokens AS (SELECT first_id, len(w) AS n, unnest(w) AS word FROM sets),
+pairs AS (SELECT a.first_id AS id_a, b.first_id AS id_b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS total
+    FROM tokens a JOIN tokens b ON a.word = b.word AND a.first_id < b.first_id GROUP BY 1, 2 HAVING 100 * common >= 80 * total)
+SELECT id_a, id_b, round(common / total::DOUBLE, 9) AS similarity FROM pairs""",
     "d01_patch_lines": "SELECT file_id, line_no::INTEGER AS line_no, kind FROM patch_kinds",
     "d02_symbol_names": "SELECT file_id, line_no::INTEGER AS line_no, symbol FROM patch_kinds",
     "d03_affected_functions": "SELECT file_id, array_to_string(functions, ',') AS affected_functions FROM impact",
