@@ -23,7 +23,7 @@ from diffloom.operators import results, rules, scores, similar_sets, similarity,
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
-from diffloom.sources import landing, store
+from diffloom.sources import kept, landing, store
 from diffloom.streaming import lifecycle as stream
 from diffloom.streaming import retries
 
@@ -729,6 +729,28 @@ def a01_analysis_statistics(spark, sf):
     return scores.analysis_statistics(b.file_rows(spark, sf), b.stored_issues(spark, sf))
 
 
+def _kept_store(spark, sf) -> store.Snapshot:
+    """All reviews stored; low-priority ones deleted; a third stored anew without minor issues, twice. Statistics follow each change."""
+    base = scratch_path(spark, "kept")
+    tables = {"pr_analyses": b.all_analyses(spark, sf), "file_analyses": b.file_rows(spark, sf), "issues": b.stored_issues(spark, sf)}
+    store.write_run(tables, base, "run-1")
+    kept.update(spark, base)
+    store.delete_tasks(spark, base, b.tasks(spark, sf).filter(F.col("priority") == "low"), "run-1")
+    kept.update(spark, base)
+    some = {name: rows.where(F.col("id" if name == "pr_analyses" else "pr_analysis_id") % 3 == 0) for name, rows in tables.items()}
+    some["issues"] = some["issues"].where("severity <> 'low'")
+    for _ in range(2):
+        store.write_run(some, base, "run-2")
+        kept.update(spark, base)
+    return store.Snapshot(spark, base)
+
+
+@query
+def a01b_kept_statistics(spark, sf):
+    found = kept.statistics(_kept_store(spark, sf))
+    return found.withColumn("pr_analysis_id", F.col("pr_analysis_id").cast("bigint"))
+
+
 @query
 def a02_issue_counts(spark, sf):
     raw = b.raw_issues(spark, sf).filter(F.col("file_id").isNotNull()).withColumn("source", F.lit("quality"))
@@ -766,6 +788,13 @@ def a06_served_summary(spark, sf):
     ).withColumn("languages_detected", _joined("languages_detected"))
 
 
+@query
+def a06b_kept_summary(spark, sf):
+    found = kept.served_summary(_kept_store(spark, sf))
+    return found.withColumns({"pr_analysis_id": F.col("pr_analysis_id").cast("bigint"),
+                              "languages_detected": _joined("languages_detected")})
+
+
 @query
 def a07_job_results(spark, sf):
     fetched = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pr_id"))

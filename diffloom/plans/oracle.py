@@ -378,6 +378,31 @@ LENIENT = """
   FROM url_parts
 """
 
+STATISTICS = """
+SELECT coalesce(f.p, i.p) AS pr_analysis_id, coalesce(n, 0) AS total_files_analyzed, coalesce(lines, 0) AS total_lines_analyzed,
+       coalesce(total, 0) AS total_issues_found, coalesce(critical, 0) AS critical_issues, coalesce(high, 0) AS high_issues,
+       coalesce(medium, 0) AS medium_issues, coalesce(low, 0) AS low_issues, coalesce(info, 0) AS info_issues
+FROM (SELECT pr_analysis_id AS p, count(*) AS n, sum(lines_analyzed)::BIGINT AS lines FROM file_rows GROUP BY 1) f
+FULL JOIN (SELECT pr_analysis_id AS p, count(*) AS total, count(*) FILTER (level = 'critical') AS critical,
+                  count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'medium') AS medium,
+                  count(*) FILTER (level = 'low') AS low, count(*) FILTER (level = 'info') AS info
+           FROM stored_issues GROUP BY 1) i ON f.p = i.p"""
+
+# What is left of the stored tables once low-priority tasks are deleted and every third review is stored anew without low issues.
+KEPT = """
+, kept_reviews AS (SELECT id FROM tasks WHERE priority <> 'low' OR id % 3 = 0),
+kept_analyses AS (SELECT * FROM all_analyses SEMI JOIN kept_reviews USING (id)),
+kept_files AS (SELECT * FROM file_rows WHERE pr_analysis_id IN (SELECT id FROM kept_reviews)),
+kept_issues AS (SELECT * FROM stored_issues WHERE pr_analysis_id IN (SELECT id FROM kept_reviews) AND (pr_analysis_id % 3 <> 0 OR level <> 'low'))
+"""
+
+
+def _kept(question: str) -> str:
+    for stored, left in (("file_rows", "kept_files"), ("stored_issues", "kept_issues"), ("analyses a", "kept_analyses a")):
+        question = question.replace(f"FROM {stored}", f"FROM {left}")
+    return question
+
+
 ORACLE: dict[str, str] = {
     "s01_pull_requests": """
 SELECT doc_id AS pr_id, 'team' AS repo_owner, source AS repo_name, (doc_id + 1)::INTEGER AS number, 'Change ' || doc_id AS title,
@@ -630,15 +655,8 @@ FROM tasks t JOIN served_summary s ON s.pr_analysis_id = t.id LEFT JOIN parts p
 WHERE t.status = 'completed' GROUP BY t.id, t.repo_url""",
     "j02_task_lookup": """
 SELECT w.id, coalesce(t.status, 'not found') AS status FROM (SELECT DISTINCT user_id * 211 AS id FROM events) w LEFT JOIN tasks t USING (id)""",
-    "a01_analysis_statistics": """
-SELECT coalesce(f.p, i.p) AS pr_analysis_id, coalesce(n, 0) AS total_files_analyzed, coalesce(lines, 0) AS total_lines_analyzed,
-       coalesce(total, 0) AS total_issues_found, coalesce(critical, 0) AS critical_issues, coalesce(high, 0) AS high_issues,
-       coalesce(medium, 0) AS medium_issues, coalesce(low, 0) AS low_issues, coalesce(info, 0) AS info_issues
-FROM (SELECT pr_analysis_id AS p, count(*) AS n, sum(lines_analyzed)::BIGINT AS lines FROM file_rows GROUP BY 1) f
-FULL JOIN (SELECT pr_analysis_id AS p, count(*) AS total, count(*) FILTER (level = 'critical') AS critical,
-                  count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'medium') AS medium,
-                  count(*) FILTER (level = 'low') AS low, count(*) FILTER (level = 'info') AS info
-           FROM stored_issues GROUP BY 1) i ON f.p = i.p""",
+    "a01_analysis_statistics": STATISTICS,
+    "a01b_kept_statistics": KEPT + _kept(STATISTICS),
     "a02_issue_counts": """
 SELECT file_id, count(*) AS issues_count, count(*) FILTER (severity IN ('critical', 'high')) AS critical_issues_count
 FROM raw_issues WHERE file_id IS NOT NULL GROUP BY 1""",
@@ -657,6 +675,7 @@ SELECT pr_id, CASE WHEN critical > 0 THEN 'needs_work' WHEN mean >= 85 THEN 'exc
        'PR ' || pr_id AS title, CASE WHEN pr_id % 3 <> 0 THEN 'dev' ELSE '' END AS author, files::INTEGER AS files_changed
 FROM rolled""",
     "a06_served_summary": f", {SERVED.replace('FROM analyses a', 'FROM all_analyses a')} SELECT * FROM served_summary",
+    "a06b_kept_summary": f"{KEPT}, {_kept(SERVED)} SELECT * FROM served_summary",
     "a07_job_results": """
 SELECT p AS pr_id, total AS total_files, coalesce(done, 0) AS files_analyzed, coalesce(found, 0) AS total_issues, coalesce(critical, 0) AS critical_issues
 FROM (SELECT l_orderkey AS p, count(*) AS total FROM lineitem GROUP BY 1)
