@@ -49,6 +49,43 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
+def task_change() -> Column:
+    """A stored task row as one value: the greatest is the newest, and of two at one time the one that ends the task."""
+    return F.when(
+        F.col("id").isNotNull() & F.col("updated_at").isNotNull(),
+        F.struct("updated_at", F.coalesce(nz.task_is_completed(F.col("status")), F.lit(False)).alias("ended"), "status", "error_message"),
+    )
+
+
+def progress_report() -> Column:
+    """An event that reports progress as one value: the greatest is the newest. Other events have none."""
+    return F.when(
+        F.col("task_id").isNotNull() & F.col("ts").isNotNull() & F.col("progress").isNotNull(),
+        F.struct("ts", "seq", "progress", "stage"),
+    )
+
+
+def served_status(met: DataFrame) -> DataFrame:
+    """What is served for each ``task_id``, from its newest ``task`` and ``report``; ``known`` says whether the task is stored."""
+    task, report = F.col("task"), F.col("report")
+    return met.select(
+        "task_id", task.isNotNull().alias("known"), task["status"].alias("status"), task["error_message"].alias("error_message"),
+        task["updated_at"].alias("updated_at"), report["progress"].alias("progress"), report["stage"].alias("stage"),
+        report["ts"].alias("reported_at"),
+    )
+
+
+def live_status(tasks: DataFrame, events: DataFrame) -> DataFrame:
+    """The stored task rows beside the live progress of ``events``, one row for each task that either knows.
+
+    ``tasks`` may hold many rows of a task (``id``, ``updated_at``, ``status``, ``error_message``): the newest counts. Rows without
+    an id or a time say nothing. A task that never reported has no progress; progress of a task that is not stored has no status.
+    """
+    stored = tasks.groupBy(F.col("id").alias("task_id")).agg(F.max(task_change()).alias("task")).where("task IS NOT NULL")
+    told = events.groupBy("task_id").agg(F.max(progress_report()).alias("report")).where("report IS NOT NULL")
+    return served_status(stored.join(told, "task_id", "full_outer"))
+
+
 def progress_fold(events: DataFrame) -> DataFrame:
     """Stored progress (clamped) and number of log entries per task."""
     if not events.isStreaming:

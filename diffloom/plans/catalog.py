@@ -25,7 +25,7 @@ from diffloom.plans import review
 from diffloom.session import scratch_path
 from diffloom.sources import kept, landing, store
 from diffloom.streaming import lifecycle as stream
-from diffloom.streaming import retries
+from diffloom.streaming import retries, status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -949,6 +949,43 @@ def r01b_latest_status_stream(spark, sf):
     return stream.read_latest(spark, f"{base}/out")
 
 
+def _task_changes(spark, sf) -> DataFrame:
+    """Each task as it was made, and as it is now; every second task is named as a task of the events."""
+    tasks = b.tasks(spark, sf)
+    name = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 1_000_000_000).alias("id")
+    made = tasks.select(name, F.col("created_at").alias("updated_at"), F.lit("pending").alias("status"),
+                        F.lit(None).cast("string").alias("error_message"))
+    error = F.when(F.col("status") == "failed", F.concat(F.lit("failed at "), F.col("pr_number").cast("string")))
+    return made.unionByName(tasks.select(
+        name, F.coalesce("completed_at", "created_at").alias("updated_at"), "status", error.alias("error_message")))
+
+
+@query
+def r01c_live_status(spark, sf):
+    return _micros(lifecycle.live_status(_task_changes(spark, sf), b.event_batch(spark, sf)))
+
+
+def _micros(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.unix_micros(c) for c in ("updated_at", "reported_at")})
+
+
+@query
+def r01d_live_status_stream(spark, sf):
+    """Both sides as streams; a last row far ahead in each lets all windows come out."""
+    base = scratch_path(spark, "live")
+    sides = {"tasks": (_task_changes(spark, sf), "updated_at"), "events": (b.event_batch(spark, sf), "ts")}
+    streams = {}
+    for name, (rows, time) in sides.items():
+        rows.write.parquet(f"{base}/{name}")
+        stored = spark.read.schema(rows.schema).parquet(f"{base}/{name}")
+        last = F.lit("2100-01-01").cast("timestamp")
+        end = stored.limit(1).select(*[(last if c == time else F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in rows.columns])
+        end.write.mode("append").parquet(f"{base}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+    status.start_live_status(streams["tasks"], streams["events"], f"{base}/out", f"{base}/state").awaitTermination()
+    return _micros(status.read_live_status(spark, f"{base}/out"))
+
+
 @query
 def r02_progress_fold(spark, sf):
     return lifecycle.progress_fold(b.event_batch(spark, sf))

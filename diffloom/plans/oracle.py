@@ -371,6 +371,20 @@ STATUS = """
   FROM task_events GROUP BY task_id
 """
 
+LIVE = """
+, changes AS (
+  SELECT id, created_at AS changed, 'pending' AS status, NULL AS error_message FROM tasks
+  UNION ALL SELECT id, coalesce(completed_at, created_at), status, CASE WHEN status = 'failed' THEN 'failed at ' || id END FROM tasks),
+newest AS (
+  SELECT CASE WHEN id % 2 = 0 THEN id ELSE id + 1000000000 END AS task_id, status, error_message, epoch_us(changed) AS updated_at FROM changes
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY changed DESC, status IN ('completed', 'failed', 'cancelled') DESC, status DESC) = 1),
+told AS (
+  SELECT task_id, progress, stage, epoch_us(ts) AS reported_at FROM task_events WHERE progress IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC) = 1)
+SELECT task_id, n.task_id IS NOT NULL AS known, status, error_message, updated_at, progress, stage, reported_at
+FROM newest n FULL JOIN told t USING (task_id)
+"""
+
 LENIENT = """
   SELECT url_id, CASE WHEN is_ssh THEN ssh_owner WHEN on_host AND len(path_parts) >= 2 THEN path_parts[1] END AS owner,
          CASE WHEN is_ssh THEN ssh_repo WHEN on_host AND len(path_parts) >= 2
@@ -743,6 +757,8 @@ SELECT a.file_id // 1000 AS file_id, CASE form WHEN 0 THEN turn + 0.5::DOUBLE WH
 FROM answers a LEFT JOIN block_metrics b ON b.file_id = a.file_id // 1000""",
     "r01_latest_status": STATUS,
     "r01b_latest_status_stream": STATUS,
+    "r01c_live_status": LIVE,
+    "r01d_live_status_stream": LIVE,
     "r02_progress_fold": """
 SELECT task_id, coalesce(arg_max(stored, (ts, seq)) FILTER (stored IS NOT NULL), 0) AS progress,
        count(*) FILTER (message IS NOT NULL AND progress IS NOT NULL) AS log_entries FROM event_progress GROUP BY task_id""",
