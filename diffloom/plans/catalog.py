@@ -19,7 +19,7 @@ from diffloom.functions import text as tx
 from diffloom.operators import diffs, duplicates, embedding, issues, lifecycle, ordering, prompts, quality
 from diffloom.operators import files as fo
 from diffloom.operators import responses as rp
-from diffloom.operators import results, rules, scores, similar_sets, similarity, vector_index
+from diffloom.operators import results, rule_table, rules, scores, similar_sets, similarity, vector_index
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
@@ -1107,3 +1107,28 @@ def x04_custom_rules(spark, sf):
     return rules.scan_lines(_coded(spark, sf), [*rules.SECURITY_RULES, *own]).select(
         "file_id", "line", "rule_id", "severity"
     )
+
+
+def _rule_rows(spark, sf) -> DataFrame:
+    """Two rules for each part, one of them for one language, and a few whose matches have no text in common."""
+    part = F.col("p_partkey").cast("string")
+    none = F.array().cast("array<string>")
+    parts = b.table(spark, sf, "part")
+
+    def made(name: str, pattern: Column, severity: str, languages: Column = none, of: str = "true") -> DataFrame:
+        return parts.where(of).select(
+            F.concat(F.lit(f"{name}."), part).alias("rule_id"), pattern.alias("pattern"), F.lit("style").alias("type"),
+            F.lit(severity).alias("severity"), F.concat(F.lit("uses "), part).alias("message"), F.lit("").alias("suggestion"),
+            languages.alias("languages"))
+
+    return (
+        made("function", F.concat(F.lit("^def f"), part, F.lit(r"\(\)")), "low", F.array(F.lit("python")))
+        .unionByName(made("variable", F.concat(F.lit("x"), part, F.lit(" = ")), "info"))
+        .unionByName(made("start", F.concat(F.lit("^(def|var) [a-z]{"), part, F.lit("}")), "medium", of="p_partkey < 3"))
+    )
+
+
+@query
+def x04b_rule_rows(spark, sf):
+    index = rule_table.indexed(_rule_rows(spark, sf))
+    return rule_table.scan_rule_rows(_coded(spark, sf), index).select("file_id", "line", "rule_id", "severity", "message")

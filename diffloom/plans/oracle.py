@@ -799,6 +799,15 @@ SELECT file_id, 'xss' AS type, 'high' AS severity, 'm' AS message, length({SECUR
 SELECT file_id, line::INTEGER AS line, rule_id, severity FROM findings WHERE starts_with(rule_id, 'security.')
 UNION ALL SELECT file_id, line_no::INTEGER, 'custom.1', 'high' FROM lang_lines WHERE contains(line, 'eval(')
 UNION ALL SELECT file_id, line_no::INTEGER, 'custom.2', 'high' FROM lang_lines WHERE regexp_matches(line, '^def f1[0-9]')""",
+    "x04b_rule_rows": """
+, named AS (
+  SELECT 'function' AS kind, 'low' AS severity, file_id, line_no, regexp_extract(line, '^def f([0-9]+)[(][)]', 1) AS part
+  FROM lang_lines WHERE language = 'python'
+  UNION SELECT 'variable', 'info', file_id, line_no, unnest(regexp_extract_all(line, 'x([0-9]+) = ', 1)) FROM lang_lines
+  UNION SELECT 'start', 'medium', file_id, line_no, n::VARCHAR FROM lang_lines, (SELECT unnest([0, 1, 2]) AS n)
+  WHERE regexp_matches(line, '^(def|var) ' || repeat('[a-z]', n)))
+SELECT file_id, line_no::INTEGER AS line, kind || '.' || part AS rule_id, severity, 'uses ' || part AS message
+FROM named JOIN part ON part = p_partkey::VARCHAR""",
 }
 
 
