@@ -23,7 +23,7 @@ from diffloom.operators import results, rule_table, rules, scores, similar_sets,
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
-from diffloom.sources import kept, landing, store
+from diffloom.sources import kept, landing, paging, store
 from diffloom.streaming import lifecycle as stream
 from diffloom.streaming import retries, status
 
@@ -67,8 +67,7 @@ def s01_pull_requests(spark, sf):
     )
 
 
-@query
-def s02_pr_files(spark, sf):
+def _file_pages(spark, sf) -> DataFrame:
     place = F.col("file_id") % 41
     place = F.when(place < 20, place).otherwise(place - 20)
     listed = b.files(spark, sf).select(
@@ -79,10 +78,26 @@ def s02_pr_files(spark, sf):
         ).alias("file"),
     )
     # A landing page holds at most eight files here, so the collected list is bounded.
-    pages = listed.groupBy("pr_id", "page").agg(
+    return listed.groupBy("pr_id", "page").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("file_id", "file"))), lambda x: x["file"]).alias("files")
     )
-    return landing.pr_files(pages, page_size=8).select("pr_id", "file_index", "filename", "status", "additions")
+
+
+@query
+def s02_pr_files(spark, sf):
+    return landing.pr_files(_file_pages(spark, sf), page_size=8).select("pr_id", "file_index", "filename", "status", "additions")
+
+
+@query
+def s02b_whole_listings(spark, sf):
+    """Every seventh listing lacks a page or names another number of files, some come twice: files of the rest, reasons for others."""
+    pages, place = _file_pages(spark, sf), F.col("pr_id").cast("bigint") % 7
+    pulls = pages.groupBy("pr_id").agg((F.sum(F.size("files")) + F.when(place == 3, 1).otherwise(0)).alias("changed_files"))
+    landed = pages.where(~((place == 1) & (F.col("page") == 1)) & ~((place == 2) & (F.col("page") == 3)))
+    landed = landed.unionByName(pages.where(place == 4))
+    files, refused = paging.whole_files(landed, pulls, page_size=8)
+    return files.select("pr_id", F.col("file_index").cast("bigint").alias("place"), F.col("filename").alias("found")).unionByName(
+        refused.select("pr_id", F.lit(-1).cast("bigint").alias("place"), _joined("problems").alias("found")))
 
 
 @query

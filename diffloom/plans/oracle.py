@@ -427,6 +427,21 @@ SELECT doc_id AS pr_id, 'team' AS repo_owner, source AS repo_name, (doc_id + 1):
 SELECT pr_id::VARCHAR AS pr_id, ((page - 1) * 8 + row_number() OVER (PARTITION BY pr_id, page ORDER BY file_id) - 1)::INTEGER AS file_index,
        path AS filename, status, additions::INTEGER AS additions
 FROM (SELECT *, (CASE WHEN file_id % 41 < 20 THEN file_id % 41 ELSE file_id % 41 - 20 END) // 8 + 1 AS page FROM files_v)""",
+    "s02b_whole_listings": """
+, placed AS (SELECT pr_id, path, (CASE WHEN file_id % 41 < 20 THEN file_id % 41 ELSE file_id % 41 - 20 END) // 8 + 1 AS page, file_id FROM files_v),
+listed AS (SELECT *, (page - 1) * 8 + row_number() OVER (PARTITION BY pr_id, page ORDER BY file_id) - 1 AS place FROM placed),
+declared AS (SELECT pr_id, count(*) + CASE WHEN pr_id % 7 = 3 THEN 1 ELSE 0 END AS changed_files FROM listed GROUP BY pr_id),
+landed AS (SELECT pr_id, page, count(*) AS n FROM listed
+           WHERE NOT (pr_id % 7 = 1 AND page = 1) AND NOT (pr_id % 7 = 2 AND page = 3) GROUP BY ALL),
+judged AS (
+  SELECT pr_id, concat_ws(',', CASE WHEN n IS NULL THEN 'no pages' END, CASE WHEN pages < last_page THEN 'missing pages' END,
+                   CASE WHEN short - CASE WHEN last_n < 8 THEN 1 ELSE 0 END > 0 THEN 'short pages' END,
+                   CASE WHEN last_n = 8 AND n <> changed_files THEN 'no last page' END,
+                   CASE WHEN n <> changed_files THEN 'other number of files' END) AS found
+  FROM declared LEFT JOIN (SELECT pr_id, sum(n) AS n, count(*) AS pages, max(page) AS last_page, arg_max(n, page) AS last_n,
+                                  count(*) FILTER (n < 8) AS short FROM landed GROUP BY pr_id) USING (pr_id))
+SELECT pr_id::VARCHAR AS pr_id, place::BIGINT AS place, path AS found FROM listed JOIN judged USING (pr_id) WHERE judged.found = ''
+UNION ALL SELECT pr_id::VARCHAR, -1, found FROM judged WHERE found <> ''""",
     "s03_file_content": """
 SELECT doc_id::VARCHAR AS filename, sha256(c) AS content_hash, length(c)::INTEGER AS n_chars
 FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN '' ELSE text END AS c FROM documents)""",
