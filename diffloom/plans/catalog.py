@@ -7,6 +7,7 @@ the same questions as plain SQL, under the same names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from diffloom.operators import results, rule_table, rules, scores, similar_sets,
 from diffloom.plans import bindings as b
 from diffloom.plans import review
 from diffloom.session import scratch_path
-from diffloom.sources import kept, landing, paging, store
+from diffloom.sources import kept, landing, page_store, paging, store
 from diffloom.streaming import lifecycle as stream
 from diffloom.streaming import retries, status
 
@@ -859,6 +860,23 @@ def k04_task_pages(spark, sf):
     ).drop("urgency")
 
 
+@query
+def k04b_stored_pages(spark, sf):
+    """The list of tasks stored once; its first, middle and last pages, and what follows the first page's last row."""
+    path = scratch_path(spark, "list")
+    urgency = F.array_position(F.array(*[F.lit(p) for p in reversed(fv.TASK_PRIORITIES)]), F.col("priority"))
+    page_store.write_list(b.tasks(spark, sf).select("id", urgency.alias("urgency")), ["urgency", "id"], path, rows_per_file=10_000)
+    first = page_store.read_page(spark, path, 1, per_page=25)
+    total = first.first()["total_pages"]
+    pages = [first, *[page_store.read_page(spark, path, n, per_page=25) for n in ((total + 1) // 2, total)]]
+    end = first.collect()[-1]
+    behind = page_store.read_after(spark, path, {"urgency": end["urgency"], "id": end["id"]}, per_page=25)
+    facts = ["page", "total_items", "has_next"]
+    found = [p.select(F.lit("page").alias("by"), "id", *facts) for p in pages]
+    found.append(behind.select(F.lit("key").alias("by"), "id", *[F.lit(None).cast(pages[0].schema[c].dataType).alias(c) for c in facts]))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def u01_issue_concat(spark, sf):
     found = b.raw_issues(spark, sf)

@@ -730,6 +730,12 @@ SELECT pr_analysis_id, id, r::INTEGER AS issue_rank FROM (SELECT *, row_number()
 SELECT id, n AS total_items, ((r - 1) // 25 + 1)::BIGINT AS page, 25 AS per_page, ceil(n / 25.0)::BIGINT AS total_pages,
        (r - 1) // 25 + 1 < ceil(n / 25.0) AS has_next, r > 25 AS has_prev
 FROM (SELECT id, count(*) OVER () AS n, row_number() OVER (ORDER BY list_position(['urgent', 'high', 'normal', 'low'], priority), id) AS r FROM tasks)""",
+    "k04b_stored_pages": """
+, ranked AS (SELECT id, count(*) OVER () AS n, row_number() OVER (ORDER BY list_position(['urgent', 'high', 'normal', 'low'], priority), id) AS r FROM tasks),
+paged AS (SELECT id, ((r - 1) // 25 + 1)::BIGINT AS page, n AS total_items, ceil(n / 25.0)::BIGINT AS pages FROM ranked)
+SELECT 'page' AS by, id, page, total_items, page < pages AS has_next FROM paged
+JOIN (SELECT unnest([1, (max(pages) + 1) // 2, max(pages)]) AS page FROM paged) USING (page)
+UNION ALL SELECT 'key', id, NULL, NULL, NULL FROM paged WHERE page = 2""",
     "u01_issue_concat": """
 SELECT 'quality' AS source, type, count(*) AS n, count(*) AS n_lines FROM raw_issues GROUP BY type
 UNION ALL SELECT 'security', type, count(*), 0 FROM raw_issues WHERE type = 'security' GROUP BY type""",
