@@ -92,7 +92,9 @@ def s02_pr_files(spark, sf):
 @query
 def s02b_whole_listings(spark, sf):
     """Every seventh listing lacks a page or names another number of files, some come twice: files of the rest, reasons for others."""
-    pages, place = _file_pages(spark, sf), F.col("pr_id").cast("bigint") % 7
+    path, place = scratch_path(spark, "landed"), F.col("pr_id").cast("bigint") % 7
+    _file_pages(spark, sf).write.parquet(path)
+    pages = spark.read.parquet(path)
     pulls = pages.groupBy("pr_id").agg((F.sum(F.size("files")) + F.when(place == 3, 1).otherwise(0)).alias("changed_files"))
     landed = pages.where(~((place == 1) & (F.col("page") == 1)) & ~((place == 2) & (F.col("page") == 3)))
     landed = landed.unionByName(pages.where(place == 4))
