@@ -83,3 +83,22 @@ def test_no_python_in_the_plan_and_no_product(spark):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     with pytest.raises(ValueError):
         ss.similar_pairs(sets.withColumn("n", F.col("n")), 0)
+
+
+def test_sets_that_only_share_common_words_are_not_compared(spark):
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(90)]
+    sets = [rng.sample(words, 60) for _ in range(150)]
+    sets += [[*s[:-1], "other"] for s in sets[:20]]
+    found, _ = ss.distinct_sets(frame(spark, sets), "doc", "words")
+    compared = ss.candidates(ss.rare_first(found, 80), 80).count()
+    similar = ss.similar_pairs(found, 80).count()
+    assert 20 <= similar <= compared <= 10 * similar < 170 * 169 // 20
+    check(spark, sets, 80)
+
+
+def test_entries_meet_their_set_without_their_words(spark):
+    members, _ = ss.similar_sets(frame(spark, [["a", "b"], ["ab"], ["a", "b"], ["b", "a"], [], None]), "doc", "words")
+    assert {(r.id, r.first_id) for r in members.collect()} == {(0, 0), (1, 1), (2, 0), (3, 0), (4, 4), (5, 4)}
+    exchanges = [line for line in members._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("hashpartitioning(items" in line for line in exchanges)
