@@ -19,7 +19,6 @@ from diffloom.llm.blocks import (
 from diffloom.llm.words import sent_to_tasks
 from diffloom.session import checkpointed
 
-TRAIN_DOCS = 1000  #: most trusted rows that the model is fitted on
 MODEL_ROWS = 4_000_000  #: most rows of a model that is sent to tasks; a larger one is joined in shards
 SHARD_ROWS = 1_000_000
 QUANTILE = 0.995
@@ -323,12 +322,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("_good")).where("_good").select("doc_id")
 
 
-def classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Model | ShardedModel, DataFrame]:
-    """The model, and the numbers of the at most ``train_docs`` trusted rows it was fitted on."""
+def classifier(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> tuple[Model | ShardedModel, DataFrame]:
+    """The model, and the numbers of the trusted rows it was fitted on: all of one half, or at most ``train_docs`` of them if given."""
     order = F.xxhash64("doc_id")
     # The other half of the trusted rows stays unseen and sets the thresholds.
-    chosen = checkpointed(trusted_ids(labels).where(F.pmod(order, F.lit(2)) == 0).orderBy(order, "doc_id").limit(train_docs))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    chosen = trusted_ids(labels).where(F.pmod(order, F.lit(2)) == 0)
+    chosen = checkpointed(chosen if train_docs is None else chosen.orderBy(order, "doc_id").limit(train_docs))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(sent_to_tasks(chosen, chosen.count()), "doc_id")
     return train(texts), chosen
 
 
@@ -337,17 +337,17 @@ def thresholds(scores: DataFrame, labels: DataFrame, chosen: DataFrame, quantile
     """``lang`` and ``threshold``, and the threshold for all other languages, from trusted rows outside the fit."""
     known = checkpointed(
         scores.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "perplexity")
-        .join(trusted_ids(labels), "doc_id").join(F.broadcast(chosen), "doc_id", "left_anti"))
+        .join(trusted_ids(labels), "doc_id").join(sent_to_tasks(chosen, chosen.count()), "doc_id", "left_anti"))
     cut = F.percentile_approx("perplexity", quantile, 10000)
     per = known.groupBy("lang").agg(cut.alias("threshold"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
     return per, known.agg(cut).first()[0]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int | None = None) -> DataFrame:
     """``doc_id``, ``lang``, ``n_tokens``, ``perplexity``, ``threshold`` and ``accepted`` for every row.
 
-    A trigram model with three discounts for each order is fitted on at most ``train_docs``
-    trusted rows (label quality 1, not toxic; the first by hash of one half of them). A row is accepted if its
+    A trigram model with three discounts for each order is fitted on one half, by hash, of all trusted
+    rows (label quality 1, not toxic; with ``train_docs`` on at most so many of them). A row is accepted if its
     perplexity is at most its language's ``quantile`` among trusted rows that the model has not seen.
 
     Whole texts are read; runs of signs are tokens of their own. A null text has its end as its only
@@ -372,7 +372,7 @@ def accepted(scores: DataFrame, per: DataFrame, rest: float | None) -> DataFrame
 
 
 def quality_decisions(docs: DataFrame, labels: DataFrame, keep: list[str], quantile: float = QUANTILE,
-                      train_docs: int = TRAIN_DOCS) -> DataFrame:
+                      train_docs: int | None = None) -> DataFrame:
     """The rows of ``docs`` (``text`` and ``keep``, which has ``doc_id`` and ``lang``) beside their score and decision.
 
     As ``quality_scores``, but texts stay beside their score: the thresholds come from a first pass

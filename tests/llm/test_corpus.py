@@ -632,3 +632,14 @@ def test_blocks_of_huge_sources_are_scattered(spark):
     rows = spark.range(0, n, n // 500).select(F.col("id").alias("b"), F.lit(step).cast("bigint").alias("_step"))
     got = rows.select("b", mixing._scattered(F.col("b"), F.lit(n), 20).alias("at")).collect()
     assert [(r["b"] * step + 20) % n for r in got] == [r["at"] for r in got] and len({r["at"] for r in got}) == len(got)
+
+
+def test_quality_model_is_fitted_on_every_trusted_row_of_one_half(spark):
+    docs = spark.range(2600).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("word w"), "id").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model, chosen = kneser.classifier(docs, labels)
+    half = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
+    assert len(half) > 1100 and {r["doc_id"] for r in chosen.collect()} == half
+    # Each row adds a word of its own; "word" and the end are common.
+    assert len(model.tables["word"][0]) == len(half) + 2
+    assert kneser.classifier(docs, labels, 7)[1].count() == 7
