@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.session import checkpointed
+
 ISSUES_PER_PART = 500
 PARTS_PER_PAGE = 200
+BROADCAST_KEYS = 100_000  #: most large files or reviews that are sent to every task
 
 
 def gate_completed(tasks: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,15 +42,49 @@ def _bucket(value: Column, buckets: Column) -> Column:
     return (head % buckets).cast("bigint")
 
 
-def _with_pieces(rows: DataFrame, oversized: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds in how many pieces a group is cut: the value in ``oversized``, else 1.
+def _few(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A table of keys, computed once, as a broadcast if it has few rows, and how many it has."""
+    keys = checkpointed(keys)
+    n = keys.count()
+    return (F.broadcast(keys) if n <= BROADCAST_KEYS else keys), n
 
-    Usually few groups are oversized or none; the join is left to the optimizer, which sees
-    the size at run time and splits hot keys, as a shuffle of its own follows.
-    """
+
+def _with_pieces(rows: DataFrame, oversized: DataFrame | None, keys: list[str], name: str) -> DataFrame:
+    """Adds in how many pieces a group is cut: the value in ``oversized``, else 1."""
+    if oversized is None:
+        return rows.withColumn(name, F.lit(1).cast("bigint"))
     return rows.join(oversized, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 
+def _oversized(owned: DataFrame, linked: DataFrame, review: str, file_key: list[str], per_part: int,
+               per_page: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Files that are cut into parts and reviews that are cut into pages; nothing where there are none.
+
+    Only the numbers of files and issues of each review are counted for all. A review with more than one page has
+    more than ``per_page`` files and full parts, so the exact counts by file are made for few reviews, or none.
+    """
+    none = F.lit(0)
+    counted = owned.select(review, F.lit(1).alias("files"), none.alias("issues")).unionByName(
+        linked.select(review, none.alias("files"), F.lit(1).alias("issues"))).groupBy(review).agg(
+        F.sum("files").alias("files"), F.sum("issues").alias("issues"))
+    possible = counted.where((F.col("issues") > per_part) | (F.col("files") + F.col("issues") / per_part > per_page))
+    asked, n = _few(possible.where(F.col(review).isNotNull()).select(review))
+    if not n:
+        return None, None
+    large_files, n_files = _few(
+        linked.join(asked, review, "left_semi").groupBy(*file_key)
+        .agg(F.ceil(F.count(F.lit(1)) / per_part).cast("bigint").alias("parts")).filter(F.col("parts") > 1)
+    )
+    # A file is one unit, and each further part of a large file is one more.
+    units = owned.join(asked, review, "left_semi").select(review, F.lit(1).cast("bigint").alias("n")).unionByName(
+        large_files.select(review, (F.col("parts") - 1).alias("n"))
+    )
+    large_reviews, n_reviews = _few(
+        units.groupBy(review).agg(F.ceil(F.sum("n") / per_page).cast("bigint").alias("pages")).filter(F.col("pages") > 1)
+    )
+    return (large_files if n_files else None), (large_reviews if n_reviews else None)
+
+
 def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, issues: DataFrame,
                      summary: DataFrame, per_part: int = ISSUES_PER_PART, per_page: int = PARTS_PER_PAGE) -> DataFrame:
     """The served document of every task that passed the gate.
@@ -56,24 +93,14 @@ def result_documents(served: DataFrame, analyses: DataFrame, files: DataFrame, i
     parts. A page nests about ``per_page`` file parts at most. Files without issues
     keep an empty list; issues without a file appear only in the totals.
 
-    Tasks, files and issues meet in one shuffle by (analysis, page): both nesting
-    steps and the join with the task reuse that partitioning. Building the plan runs no job.
+    Large files and reviews are looked for first, by counts. Then tasks, files and issues meet in one shuffle by
+    (analysis, page): both nesting steps and the join with the task reuse that partitioning.
     """
     review, file_key = "pr_analysis_id", ["pr_analysis_id", "file_analysis_id"]
     linked = issues.filter(F.col("file_analysis_id").isNotNull())
     owned = files.withColumnRenamed("id", "file_analysis_id")
 
-    large_files = (
-        linked.groupBy(*file_key).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("bigint").alias("parts"))
-        .filter(F.col("parts") > 1)
-    )
-    # A file is one unit, and each further part of a large file is one more.
-    units = owned.select(review, F.lit(1).cast("bigint").alias("n")).unionByName(
-        large_files.select(review, (F.col("parts") - 1).alias("n"))
-    )
-    large_reviews = (
-        units.groupBy(review).agg(F.ceil(F.sum("n") / per_page).cast("bigint").alias("pages")).filter(F.col("pages") > 1)
-    )
+    large_files, large_reviews = _oversized(owned, linked, review, file_key, per_part, per_page)
 
     def in_parts(rows: DataFrame) -> DataFrame:
         return _with_pieces(rows, large_files, file_key, "parts")

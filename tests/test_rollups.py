@@ -202,3 +202,24 @@ def test_store_forgets_deleted_tasks(spark, tmp_path):
     assert current(spark, target) == left
     store.write_run(stored(spark, 1), base, "run-2")
     assert current(spark, base)["issues"] == ["i0", "j", "k"]
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_documents_shuffle_issues_once_unless_reviews_are_large(spark):
+    """Without large reviews issues go straight to the nesting; with some, files and pages are still whole."""
+    rows = [(f"i{k}", "a1", f"f{k % 7}", "low", 1) for k in range(60)] + [("j", "a2", "f9", "low", 1)]
+    files = [(f"f{k}", "a1", "python") for k in range(7)] + [("f9", "a2", "python")]
+    tasks, analyses, file_table, stored = review_tables(spark, rows, files)
+    served, _ = results.gate_completed(tasks, analyses)
+    summary = scores.served_summary(analyses, file_table, stored)
+    small = results.result_documents(served, analyses, file_table, stored, summary)
+    issues_alone = shuffles(small) - shuffles(results._task_heads(served, analyses, summary))
+    assert issues_alone == 1
+    cut = results.result_documents(served, analyses, file_table, stored, summary, per_part=5, per_page=4).collect()
+    first = [p for p in cut if p["task_id"] == "t1"]
+    # 7 files of 8 or 9 issues are 14 parts.
+    assert {p["pages"] for p in first} == {4} and sum(len(p["files"]) for p in first) == 14
+    assert sorted(i["id"] for p in first for f in p["files"] for i in f["issues"]) == sorted(r[0] for r in rows if r[1] == "a1")
