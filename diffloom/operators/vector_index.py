@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from diffloom.operators.similarity import SCORE_DIGITS, SCORES_AT_ONCE, UNIT_SLACK, _matrix, _nonzero, dot
+from diffloom.operators.similarity import SCORE_DIGITS, SCORES_AT_ONCE, UNIT_SLACK, _matrix, _nonzero, dot, lots
 
 SAMPLE_ROWS = 20_000  #: centroids are fitted on at most this many vectors, those with the least hashes
 MAX_CELLS = 1024  #: bounds what the driver and every task hold: cells x dimension floats
@@ -121,19 +121,24 @@ class VectorIndex:
             for batch in batches:
                 scores = _matrix(batch["wanted"]) @ centroids.T
                 cells = np.argpartition(-scores, probes - 1, axis=1)[:, :probes]
-                row = np.repeat(np.arange(len(batch)), probes)
-                out = batch.iloc[row].reset_index(drop=True)
-                out["cell"] = cells.reshape(-1).astype(np.int32)
-                yield out
+                row, cells = np.repeat(np.arange(len(batch)), probes), cells.reshape(-1).astype(np.int32)
+                for some in lots(len(row), centroids.shape[1]):
+                    out = batch.iloc[row[some]].reset_index(drop=True)
+                    out["cell"] = cells[some]
+                    yield out
 
         target_type, lists = asked.schema["target"].dataType.simpleString(), self._read(LISTS)
         visits = asked.mapInPandas(near, f"target {target_type}, wanted array<double>, cell int")
+        # Targets of a cell are cut, too: a task holds one slice of either side.
+        of = asked.agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int")).first()[0]
+        visits = visits.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(max(1, of))).cast("int"))
         counts = lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
         if probes < self.cells:
             visited = [r["cell"] for r in visits.select("cell").distinct().collect()]  # at most MAX_CELLS
             lists = lists.where(F.col("cell").isin(visited))
         slices = F.broadcast(counts)  # one row for each cell, at most MAX_CELLS
-        left = lists.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).drop("slices")
+        left = lists.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).drop("slices").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.lit(max(1, of) - 1))))
         right = visits.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
         id_type = left.schema["id"].dataType.simpleString()
 
@@ -158,7 +163,7 @@ class VectorIndex:
                                            "high": score + error[row, 0], "cell": cell}))
             return pd.concat(found[1:])
 
-        candidates = left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInPandas(
+        candidates = left.groupBy("cell", "slice", "part").cogroup(right.groupBy("cell", "slice", "part")).applyInPandas(
             match, f"target {target_type}, id {id_type}, low double, high double, cell int")
         # What lies surely below the k-th of all cells goes before any vector is read.
         of_target = Window.partitionBy("target")

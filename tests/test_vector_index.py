@@ -80,3 +80,13 @@ def test_unfit_rows(spark, tmp_path):
     assert index.search(asked.limit(0), "target", "id").collect() == []
     with pytest.raises(ValueError):
         vector_index.build(given.limit(0), str(tmp_path / "none"))
+
+
+def test_targets_of_a_cell_are_cut(spark, tmp_path, monkeypatch):
+    matrix, targets = corpus(4, 300, 16, 6, 0.5), corpus(4, 90, 16, 6, 0.5)
+    index = vector_index.build(frame(spark, matrix), str(tmp_path / "index"), cells=4)
+    monkeypatch.setattr(vector_index, "SLICE_ROWS", 40)
+    found = index.search(frame(spark, targets, name="target"), "target", "id")
+    # Three slices of targets meet each slice of a cell.
+    assert "part#" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[:2] + r[3:] for r in rows(found)] == [r[:2] + r[3:] for r in sorted(plain(targets, matrix, 5))]
