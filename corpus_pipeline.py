@@ -50,8 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder; one row for each slot with its place and documents."""
-    sequences = materialise.training_order(docs)
-    return materialise.written(sequences, scratch_path(spark, "shards"))
+    return materialise.written_in_lots(docs, scratch_path(spark, "shards"))
 
 
 STAGES = [

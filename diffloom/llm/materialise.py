@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from diffloom.llm.blocks import NULL_ID, id_and_text, mixed, pack, unpack
 from diffloom.llm.words import sent_to_tasks
 from diffloom.operators.ordering import running_total
-from diffloom.session import checkpointed
+from diffloom.session import checkpointed, shuffles_removed, stored
 
 SEQUENCE = 1024  #: tokens in a slot
 SHARD_SLOTS = 4096
@@ -23,6 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEY = 7
+LOTS = 6  #: shards are written in so many lots
 
 
 class Tokenizer:
@@ -84,7 +85,7 @@ def _token_blocks(batches: Iterator[pa.RecordBatch], sent, limit: int) -> Iterat
         yield block()
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], length: int, size: int, key: int, per_shard: int, end: int):
+def _sequences(batches: Iterator[pa.RecordBatch], length: int, size: int, key: int, per_shard: int, end: int, shards: range):
     for batch in batches:
         for row in batch.to_pylist():
             tokens = unpack(row["tokens"], np.uint16)
@@ -97,17 +98,18 @@ def _sequences(batches: Iterator[pa.RecordBatch], length: int, size: int, key: i
             cuts = np.arange(n) * length
             first = np.searchsorted(stop, cuts, "right")
             last = np.searchsorted(stop, np.minimum(cuts + length, len(tokens)), "left")
-            docs = [[None if i == NULL_ID else i for i in ids[a : b + 1].tolist()] for a, b in zip(first, last)]
             body = padded.astype("<u2").tobytes()
-            for at in range(0, n, 512):
-                some = slice(at, at + 512)
+            wanted = np.flatnonzero((slots >= shards.start * per_shard) & (slots < shards.stop * per_shard))
+            for at in range(0, len(wanted), 512):
+                some = wanted[at : at + 512]
+                docs = [[None if i == NULL_ID else i for i in ids[a : b + 1].tolist()] for a, b in zip(first[some], last[some])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slots[some]), pa.array(slots[some] // per_shard), pa.array(slots[some] % per_shard * 2 * length),
-                        pa.array(np.arange(row["first"] + at, row["first"] + at + len(slots[some]))),
+                        pa.array(row["first"] + some),
                         pa.array(np.minimum(length, len(tokens) - cuts[some])),
-                        pa.array(docs[some], pa.list_(pa.int64())),
-                        pa.array([body[2 * length * k : 2 * length * (k + 1)] for k in range(at, at + len(slots[some]))], pa.binary()),
+                        pa.array(docs, pa.list_(pa.int64())),
+                        pa.array([body[2 * length * k : 2 * length * (k + 1)] for k in some.tolist()], pa.binary()),
                     ],
                     names=["slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "ids"])
 
@@ -116,6 +118,12 @@ SEQUENCE_SCHEMA = ("slot bigint, shard bigint, offset bigint, sequence bigint, n
                    "doc_ids array<bigint>, ids binary")
 
 
+def _ordered(numbered: DataFrame, shards: range, length: int, size: int, key: int, per_shard: int, end: int) -> DataFrame:
+    """The slots of some shards, each shard in a partition of its own, out of numbered token blocks."""
+    made = numbered.mapInArrow(lambda b: _sequences(b, length, size, key, per_shard, end, shards), SEQUENCE_SCHEMA)
+    return made.repartitionById(len(shards), (F.col("shard") - shards.start).cast("int")).sortWithinPartitions("shard", "slot")
+
+
 def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length: int = SEQUENCE,
                    per_shard: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
     """Every token of ``docs`` in sequences of ``length``, each at its global slot.
@@ -131,8 +139,13 @@ def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length:
     or empty text is an end token alone; null doc_ids stay null in ``doc_ids``; repeated
     rows are written again; an empty table gives no rows.
     """
+    numbered, size, end = _numbered(docs, tokenizer or Tokenizer(), length)
+    return _ordered(numbered, range(max(1, -(-size // per_shard))), length, size, key, per_shard, end)
+
+
+def _numbered(docs: DataFrame, tokenizer: Tokenizer, length: int) -> tuple[DataFrame, int, int]:
+    """Token blocks with the number of their ``first`` sequence, the number of all sequences, and the end token."""
     spark = docs.sparkSession
-    tokenizer = tokenizer or Tokenizer()
     sent, end = spark.sparkContext.broadcast(tokenizer), tokenizer.end
     schema = "block_id bigint, n bigint, ids binary, lens binary, tokens binary"
     blocks = checkpointed(id_and_text(docs).mapInArrow(lambda b: _token_blocks(b, sent, BLOCK_BYTES), schema))
@@ -141,9 +154,25 @@ def training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, length:
     size = placed.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
     # One small row for each block of some megabytes: the tokens stay where they are.
     firsts = sent_to_tasks(placed.select("block_id", (F.col("_end") - F.col("count")).alias("first")), blocks.count())
-    numbered = blocks.join(firsts, "block_id")
-    made = numbered.mapInArrow(lambda b: _sequences(b, length, size, key, per_shard, end), SEQUENCE_SCHEMA)
-    return made.repartitionById(max(1, -(-size // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    return blocks.join(firsts, "block_id"), size, end
+
+
+def written_in_lots(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None, length: int = SEQUENCE,
+                    per_shard: int = SHARD_SLOTS, key: int = KEY, lots: int = LOTS) -> DataFrame:
+    """``training_order`` of ``docs`` written to ``folder``, the rows as ``written`` gives them.
+
+    Shards are written in ``lots``, one after the other. Each lot shuffles only the slots of its own shards and leaves its
+    files and small rows, so that token blocks, files and one lot's shuffle are on disk together, not a whole shuffle.
+    """
+    spark = docs.sparkSession
+    numbered, size, end = _numbered(docs, tokenizer or Tokenizer(), length)
+    shards = max(1, -(-size // per_shard))
+    cuts = sorted({shards * k // lots for k in range(lots + 1)})
+    rows = []
+    for some in map(range, cuts, cuts[1:]):
+        with shuffles_removed(spark):
+            rows.append(stored(written(_ordered(numbered, some, length, size, key, per_shard, end), folder), "slots"))
+    return spark.read.parquet(*rows)
 
 
 def _filesystem(folder: str):

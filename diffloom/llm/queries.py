@@ -45,8 +45,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sequences = materialise.training_order(_table(spark, sf_dir, "documents"))
-    return materialise.written(sequences, scratch_path(spark, "shards"))
+    return materialise.written_in_lots(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

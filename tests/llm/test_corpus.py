@@ -5,6 +5,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 import tempfile
@@ -15,6 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from diffloom import session
 from diffloom.llm import blocks, components, ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, queries, suffix
 
 SF = "/root/testdata/sf0.001"
@@ -517,6 +519,36 @@ def test_training_order_query_leaves_files_to_resume_from(spark, monkeypatch):
     assert all(r.file == f"shard-{r.shard:06d}.bin" and r.offset == r.slot % materialise.SHARD_SLOTS * 2 * materialise.SEQUENCE for r in rows)
 
 
+def test_shards_in_lots_are_those_of_one_shuffle(spark, docs):
+    """Rows and files of all lots are those of one lot."""
+    one, many = (tempfile.mkdtemp(prefix="shards-") for _ in range(2))
+    whole = materialise.written(materialise.training_order(docs, length=64, per_shard=50), one).collect()
+    before = spark.conf.get(session.SHUFFLE_CLEANUP)
+    rows = materialise.written_in_lots(docs, many, length=64, per_shard=50, lots=3)
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == before
+    assert sorted(rows.collect(), key=lambda r: r.slot) == sorted(whole, key=lambda r: r.slot) and len({r.shard for r in whole}) > 3
+    names = sorted(os.listdir(one))
+    assert names == sorted(os.listdir(many)) and all(open(f"{one}/{n}", "rb").read() == open(f"{many}/{n}", "rb").read() for n in names)
+    assert materialise.written_in_lots(docs.limit(0), tempfile.mkdtemp(prefix="shards-")).count() == 0
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark, tmp_path):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        listed = manager.getAllFiles()
+        return {name for name in (listed.apply(k).getName() for k in range(listed.size())) if name.startswith("shuffle_")}
+
+    before = files()
+    path = session.stored(spark.range(1000).repartition(7, "id"), "numbers")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.read.parquet(path).count() == 1000
+    session.dropped(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_each_partition_of_the_training_order_is_one_shard(docs):
     parts = materialise.training_order(docs, length=64, per_shard=50).select("shard", F.spark_partition_id().alias("part")).distinct().collect()
     assert len(parts) > 2 and all(r.shard == r.part for r in parts)
