@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,23 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.blocks import (
-    ASK_SCHEMA, REPLY_SCHEMA, ask_batch, mixed, pack, per_block, prefix_sums, read_block, replies_in_order, shard_count,
-    substring_hash, text_blocks, unpack, with_replies,
+    mixed, pack, pack_sorted, packed_blocks, per_block, prefix_sums, read_block, shuffle_partitions, substring_hash, unpack,
+    unpack_sorted,
 )
 from diffloom.llm.words import sent_to_tasks
-from diffloom.session import checkpointed
+from diffloom.session import checkpointed, dropped, stored
 
 MODEL_ROWS = 4_000_000  #: most rows of a model that is sent to tasks; a larger one is joined in shards
 SHARD_ROWS = 1_000_000
 QUANTILE = 0.995
 LEAST_TRUSTED = 50  #: a language with fewer trusted rows takes the threshold of all languages together
 PIECE = 1 << 19
+FIT_LOTS, FIT_LOT_BYTES = 4, 4 << 20  #: n-grams of a large model are counted in so many lots at most, of so much text at least
+SCORE_LOTS, SCORE_LOT_BYTES = 10, 16 << 20  #: rows meet a large model in so many lots at most, of so much text at least
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 
-#: What is known for a key: chances of words, pairs and triples, and what the contexts of pairs and triples leave to the order below.
+#: Tables of a model in tasks: chances of words, pairs and triples, and what the contexts of pairs and triples leave to the order below.
 KEY_KINDS = ("word", "pair", "triple", "before1", "before2")
-SALTS = {kind: np.uint64((k * 0xA24BAED4963EE407) % 2**64) for k, kind in enumerate(KEY_KINDS, 1)}
 
 
 def _classes() -> np.ndarray:
@@ -63,12 +63,20 @@ def _token_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts + 1
 
 
+def _pair_keys(before1: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before1 * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+def _triple_keys(before2: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before2 * np.uint64(0xC2B2AE3D27D4EB4F) + word + np.uint64(1))
+
+
 def _keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the pairs and triples that end at each token (garbage at the first one or two)."""
     pairs = tokens.copy()
-    pairs[1:] = mixed(tokens[:-1] * np.uint64(0x9FB21C651E98DF25) + tokens[1:])
+    pairs[1:] = _pair_keys(tokens[:-1], tokens[1:])
     triples = pairs.copy()
-    triples[1:] = mixed(pairs[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + tokens[1:] + np.uint64(1))
+    triples[1:] = _triple_keys(pairs[:-1], tokens[1:])
     return pairs, triples
 
 
@@ -110,7 +118,10 @@ def _discount(n: Column, d: list[float]) -> Column:
 def _discounts(counts: DataFrame) -> list[float]:
     """The three discounts from how many n-grams were counted once to four times."""
     seen = {r["n"]: r["m"] for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-    n = [float(seen.get(k, 0)) for k in range(1, 5)]
+    return _estimated([float(seen.get(k, 0)) for k in range(1, 5)])
+
+
+def _estimated(n: list[float]) -> list[float]:
     usual = [0.5, 1.0, 1.5]
     if not all(n[:3]):
         return usual
@@ -166,84 +177,303 @@ class Model:
 
 @dataclass
 class ShardedModel:
-    """The same tables as one frame of salted keys (``key``, ``chance``), for a model of any size."""
+    """Counts of a model of any size in stored, packed key shards; chances are worked out where texts are scored.
+
+    A triple is kept with its count in the shard of the pair that it ends with. A pair is kept with the number of its distinct
+    triples, and, as a context, with the total of what follows it and how much of that was counted once, twice and more often.
+    Words are kept likewise, with numbers of distinct pairs.
+    """
 
-    table: DataFrame
+    paths: list[str]
+    shards: int
     rows: int
-    unknown: float
+    discounts: list[list[float]]  # of words, pairs and triples
+    distinct_pairs: int
+    left: float  # what the words leave to unseen words
+    floor: float
+
+    @property
+    def unknown(self) -> float:
+        return self.left * self.floor
+
+
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def _dealt(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each shard and where it stands in an ascending list of shards."""
+    used, first = np.unique(shard, return_index=True)
+    for number, start, stop in zip(used.tolist(), first.tolist(), [*first.tolist()[1:], len(shard)]):
+        yield number, slice(start, stop)
+
+
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order; sorting is several times faster than ``np.unique`` for plain numbers."""
+    ordered = np.sort(keys)
+    return ordered[np.diff(ordered, prepend=~ordered[:1]) != 0]
 
 
-def _questions(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Salted keys that decide the chance of each predicted token, one row for each kind of key."""
-    pairs, triples = _keys(tokens)
-    at = _scored(counts)
-    keys = dict(zip(KEY_KINDS, (tokens[at], pairs[at], triples[at], tokens[at - 1], pairs[at - 1])))
-    return np.stack([keys[kind] ^ SALTS[kind] for kind in KEY_KINDS])
+def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked key stands among the sorted ``keys``, which hold it; sorted questions walk through them in order."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.searchsorted(keys, asked[order])
+    return out
 
 
-def _block_questions(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
+def _block_grams(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Word, word before, pair, pair before and triple of each predicted token of a block, and each text's number of them."""
     _, lens, body = read_block(row)
     ends = np.cumsum(lens)
+    grams, sizes = [], []
     for _, texts in _groups([body[end - size : end] for size, end in zip(lens, ends)]):
         tokens, counts = _token_rows(texts)
-        yield _questions(tokens, counts), counts
-
+        pairs, triples = _keys(tokens)
+        at = _scored(counts)
+        grams.append(np.stack([tokens[at], tokens[at - 1], pairs[at], pairs[at - 1], triples[at]]))
+        sizes.append(counts)
+    return np.concatenate(grams, axis=1), np.concatenate(sizes)
+
+
+# Counting: every distinct triple goes to the shard of the pair that it ends with, and to the shard of the pair that it starts with.
+
+COUNT_SCHEMA = "shard int, context boolean, before2 binary, before1 binary, word binary, n binary"
+TABLE_SCHEMA = ("shard int, pairs binary, pair_facts binary, triples binary, counts binary, words binary, word_facts binary, "
+                "seen array<bigint>")
+FACTS = 5  #: continuations; total, and followers counted once, twice, more often
+
+
+def _followed(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each context's total, and how many of its followers were counted once, twice and more often."""
+    keys, place = np.unique(contexts, return_inverse=True)
+    sums = [counts, counts == 1, counts == 2, counts > 2]
+    return keys, np.stack([np.bincount(place, x, minlength=len(keys)).astype(np.int64) for x in sums])
+
+
+def _facts(ends: np.ndarray, continued: np.ndarray, contexts: np.ndarray, followed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = _unique(np.concatenate([ends, contexts]))
+    facts = np.zeros((FACTS, len(keys)), np.int64)
+    facts[0, np.searchsorted(keys, ends)] = continued
+    facts[1:, np.searchsorted(keys, contexts)] = followed
+    return keys, facts
+
+
+def _histogram(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in range(1, 5)]
+
+
+def _counted(group: pd.DataFrame) -> pd.DataFrame:
+    """The tables of one shard: its pairs, the triples that end with them, and what these add to words."""
+    found = []
+    for context in (False, True):
+        some = group[group["context"] == context]
+        before2, before1, word = (_joined([unpack(d, np.uint64) for d in some[c]]) for c in ("before2", "before1", "word"))
+        n = _joined([unpack(d, np.int64) for d in some["n"]], np.int64)
+        keys, first, place = np.unique(_triple_keys(before2, word), return_index=True, return_inverse=True)
+        counts = np.bincount(place, n, minlength=len(keys)).astype(np.int64)
+        found.append((keys, counts, before2[first], before1 if context else before1[first], word[first]))
+    triples, counts, _, before1, word = found[0]
+    ends, at, continued = np.unique(_pair_keys(before1, word), return_index=True, return_counts=True)
+    pairs, facts = _facts(ends, continued, *_followed(found[1][2], found[1][1]))
+    words, word_facts = _facts(*np.unique(word[at], return_counts=True), *_followed(before1[at], continued))
+    return pd.DataFrame({
+        "shard": [group["shard"].iloc[0]], "pairs": [pack_sorted(pairs)], "pair_facts": [pack(facts)], "triples": [pack_sorted(triples)],
+        "counts": [pack(counts)], "words": [pack_sorted(words)], "word_facts": [pack(word_facts)],
+        "seen": [[*_histogram(counts), *_histogram(continued), len(triples), len(ends)]]})
+
+
+def _counted_triples(blocks: DataFrame, shards: int, lots: int, lot: int) -> DataFrame:
+    def send(row: dict) -> pa.RecordBatch:
+        (word, before1, pair, before2, triple), _ = _block_grams(row)
+        _, first, n = np.unique(triple, return_index=True, return_counts=True)
+        columns: list[list] = [[] for _ in range(6)]
+        for context, owner in ((False, pair[first]), (True, before2[first])):
+            mine = np.flatnonzero((owner >> np.uint64(8)) % np.uint64(lots) == np.uint64(lot))
+            mine = mine[np.argsort(owner[mine])]
+            shard = _shard_of(owner[mine], shards)
+            order = np.argsort(shard, kind="stable")
+            mine, at = mine[order], first[mine[order]]
+            for number, some in _dealt(shard[order]):
+                # A context's count needs no word before.
+                parts = [before2[at[some]], at[:0].astype(np.uint64) if context else before1[at[some]], word[at[some]], n[mine[some]].astype(np.int64)]
+                for column, value in zip(columns, [number, context, *map(pack, parts)]):
+                    column.append(value)
+        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "context", "before2", "before1", "word", "n"])
 
-def _distinct_questions(row: dict) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(asked) for asked, _ in _block_questions(row)]))
+    return per_block(blocks, send, COUNT_SCHEMA).groupBy("shard").applyInPandas(_counted, TABLE_SCHEMA)
 
 
-def _sharded_chances(rows: DataFrame, model: ShardedModel) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``perplexity`` by joins: blocks ask each shard of the model for their distinct keys once."""
-    blocks = text_blocks(rows)
-    shards = max(shard_count(blocks, 4.0), -(-model.rows // SHARD_ROWS))
-    unknown = model.unknown
+def _counted_words(tables: DataFrame, shards: int) -> DataFrame:
+    """Facts about words, added up over the shards of pairs and dealt to the words' own shards."""
+    parts = -(-shards // 8)
 
-    def shard_of(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    def send(row: dict) -> pa.RecordBatch:
+        words, facts = unpack_sorted(row["words"]), unpack(row["word_facts"], np.int64).reshape(FACTS, -1)
+        part = _shard_of(words, shards) % parts
+        order = np.argsort(part, kind="stable")
+        rows = [(number, pack_sorted(words[order[some]]), pack(facts[:, order[some]])) for number, some in _dealt(part[order])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "words", "word_facts"])
 
-    def ask(row: dict) -> pa.RecordBatch:
-        keys = _distinct_questions(row)
-        shard = shard_of(keys)
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        words, place = np.unique(_joined([unpack_sorted(d) for d in group["words"]]), return_inverse=True)
+        sent = np.concatenate([unpack(d, np.int64).reshape(FACTS, -1) for d in group["word_facts"]], axis=1)
+        facts = np.stack([np.bincount(place, x, minlength=len(words)).astype(np.int64) for x in sent])
+        shard = _shard_of(words, shards)
         order = np.argsort(shard, kind="stable")
-        used, first = np.unique(shard[order], return_index=True)
-        return ask_batch(row["block_id"], used.tolist(), [pack(part) for part in np.split(keys[order], first[1:])])
-
-    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = known["key"].to_numpy(np.int64).view(np.uint64)
+        rows = []
+        for number, some in _dealt(shard[order]):
+            own = facts[:, order[some]]
+            seen = [*_histogram(own[0]), int((own[0] > 0).sum()), int(own[0].sum())]
+            rows.append((number, pack_sorted(words[order[some]]), pack(own), seen))
+        return pd.DataFrame(rows, columns=["shard", "words", "word_facts", "seen"])
+
+    sent = per_block(tables.select("words", "word_facts"), send, "part int, words binary, word_facts binary")
+    return sent.groupBy("part").applyInPandas(add, "shard int, words binary, word_facts binary, seen array<bigint>")
+
+
+def _summed(tables: DataFrame, size: int) -> list[int]:
+    return [int(x or 0) for x in tables.agg(*[F.sum(F.get("seen", F.lit(k))) for k in range(size)]).first()]
+
+
+def _sharded_model(blocks: DataFrame, tokens: int) -> ShardedModel:
+    """Counts every n-gram of the blocks, lot by lot: a lot's messages leave the disk when its tables are written."""
+    spark = blocks.sparkSession
+    shards = max(shuffle_partitions(blocks), -(-tokens // SHARD_ROWS))
+    lots = _lots(blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0, FIT_LOT_BYTES // 3, FIT_LOTS)
+    made = [stored(_counted_triples(blocks, shards, lots, lot), "ngrams") for lot in range(lots)]
+    tables = spark.read.parquet(*made)
+    *seen, triples, pairs = _summed(tables, 10)
+    words = stored(_counted_words(tables, shards), "words")
+    *known, size, distinct = _summed(spark.read.parquet(words), 6)
+    discounts = [_estimated([float(n) for n in some]) for some in (known, seen[4:], seen[:4])]
+    once, twice = known[:2]
+    left = sum(d * n for d, n in zip(discounts[0], (once, twice, size - once - twice))) / max(distinct, 1) if size else 1.0
+    # What shards of pairs added to words is in the words' table now.
+    kept = stored(tables.select("shard", "pairs", "pair_facts", "triples", "counts"), "ngrams")
+    dropped(spark, *made)
+    return ShardedModel([kept, words], shards, triples + pairs + size, discounts, distinct, left, 1.0 / (size + 1))
+
+
+def _lots(size: int, least: int, most: int) -> int:
+    return min(most, max(1, size // least))
+
+
+# Scoring: blocks of texts ask each shard once for the facts about their distinct words, pairs and triples.
+
+ASKED = ("words", "pairs", "triples")
+ASKED_SCHEMA = "shard int, block_id bigint, words binary, pairs binary, triples binary"
+
+
+def _distinct(grams: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, pairs and triples: the distinct keys, their shards, and the order of the keys by shard."""
+    word, before1, pair, before2, triple = grams
+    words, pairs = (_unique(np.concatenate([_unique(a), _unique(b)])) for a, b in ((word, before1), (pair, before2)))
+    order = np.argsort(triple)
+    ordered = triple[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+    found = []
+    for keys, owner in ((words, words), (pairs, pairs), (ordered[first], pair[order[first]])):
+        shard = _shard_of(owner, shards)
+        found.append((keys, shard, np.argsort(shard, kind="stable")))
+    return found
+
+
+def _asked(row: dict, shards: int) -> pa.RecordBatch:
+    parts: dict[int, list[bytes]] = {}
+    none = pack_sorted(np.empty(0, np.uint64))
+    for k, (keys, shard, order) in enumerate(_distinct(_block_grams(row)[0], shards)):
+        for number, some in _dealt(shard[order]):
+            parts.setdefault(number, [none] * 3)[k] = pack_sorted(keys[order[some]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(parts), pa.int32()), pa.array([row["block_id"]] * len(parts), pa.int64()),
+         *[pa.array([p[k] for p in parts.values()], pa.binary()) for k in range(3)]], names=["shard", "block_id", *ASKED])
+
+
+def _answered(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    out = {"shard": asked["shard"], "block_id": asked["block_id"]}
+    for kind, values, planes in (("words", "word_facts", FACTS), ("pairs", "pair_facts", FACTS), ("triples", "counts", 1)):
+        own = known[known[kind].notna()]
+        keys = _joined([unpack_sorted(d) for d in own[kind]])
+        facts = np.concatenate([np.empty((planes, 0), np.int64), *[unpack(d, np.int64).reshape(planes, -1) for d in own[values]]], axis=1)
         order = np.argsort(keys)
-        keys, chances = keys[order], known["chance"].to_numpy(np.float32)[order]
+        keys = keys[order]
         replies = []
-        for data in asked["asked"]:
-            wanted = unpack(data, np.uint64)
-            reply = np.full(len(wanted), np.nan, np.float32)
+        for data in asked[kind]:
+            wanted = unpack_sorted(data)
+            reply = np.zeros((planes, len(wanted)), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                reply = np.where(keys[at] == wanted, chances[at], reply)
+                hit = np.flatnonzero(keys[at] == wanted)
+                reply[:, hit] = facts[:, order[at[hit]]]
             replies.append(pack(reply))
-        return pd.DataFrame({"block_id": asked["block_id"], "shard": asked["shard"], "reply": replies})
-
-    def score(row: dict) -> pa.RecordBatch:
-        ids, _, _ = read_block(row)
-        keys = _distinct_questions(row)
-        values = np.empty(len(keys), np.float32)
-        values[np.argsort(shard_of(keys), kind="stable")] = np.concatenate(
-            [unpack(reply, np.float32) for reply in replies_in_order(row["replies"])])
-        sizes, totals = [], []
-        for asked, counts in _block_questions(row):
-            word, pair, triple, before1, before2 = values[np.searchsorted(keys, asked)].astype(np.float64)
-            one = np.where(np.isnan(word), unknown, word)
-            two = np.where(np.isnan(pair), np.where(np.isnan(before1), 1.0, before1) * one, pair)
-            three = np.where(np.isnan(triple), np.where(np.isnan(before2), 1.0, before2) * two, triple)
-            sizes.append(counts)
-            totals.append(np.add.reduceat(np.log(three), np.cumsum(counts) - counts))
-        n = np.concatenate(sizes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.exp(-np.concatenate(totals) / n))], names=["doc_id", "n_tokens", "perplexity"])
-
-    table = model.table.withColumn("shard", (F.shiftrightunsigned("key", 32) % shards).cast("int"))
-    replies = per_block(blocks, ask, ASK_SCHEMA).groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(answer, REPLY_SCHEMA)
-    return per_block(with_replies(blocks, replies, "replies"), score, "doc_id bigint, n_tokens bigint, perplexity double")
+        out[kind] = replies
+    return pd.DataFrame(out)
+
+
+def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.where(counts > 0, counts - np.array(d)[np.clip(counts, 1, 3) - 1], 0.0)
+
+
+def _shares(contexts: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """What a count is worth in each context, and what the context leaves to the order below: all, if it was never seen."""
+    total = contexts[1]
+    most = np.maximum(total, 1)
+    return (total > 0) / most, np.where(total > 0, (d @ contexts[2:]) / most, 1.0)
+
+
+def _block_scores(row: dict, model: ShardedModel) -> pa.RecordBatch:
+    ids, _, _ = read_block(row)
+    grams, n = _block_grams(row)
+    replies = sorted(row["replies"], key=lambda r: r["shard"])
+    facts = []
+    for kind, planes, (keys, _, order) in zip(ASKED, (FACTS, FACTS, 1), _distinct(grams, model.shards)):
+        values = np.empty((planes, len(keys)), np.int64)
+        values[:, order] = np.concatenate([unpack(r[kind], np.int64).reshape(planes, -1) for r in replies], axis=1)
+        facts.append((keys, values))
+    (words, of_words), (pairs, of_pairs), (triples, of_triples) = facts
+    word, before1, pair, before2, triple = grams
+    d1, d2, d3 = model.discounts
+    one = (_discounted(of_words[0], d1) / max(model.distinct_pairs, 1) + model.unknown)[_places(words, word)]
+    worth, weight = _shares(of_words, d2)
+    at = _places(words, before1)
+    two = _discounted(of_pairs[0], d2)[_places(pairs, pair)] * worth[at] + weight[at] * one
+    worth, weight = _shares(of_pairs, d3)
+    at = _places(pairs, before2)
+    three = _discounted(of_triples[0], d3)[_places(triples, triple)] * worth[at] + weight[at] * two
+    totals = np.add.reduceat(np.log(three), np.cumsum(n) - n)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.exp(-totals / n))], names=["_place", "n_tokens", "perplexity"])
+
+
+def _sharded_perplexities(docs: DataFrame, model: ShardedModel, keep: list[str]) -> DataFrame:
+    """``perplexities`` in lots of rows: what a lot asks and hears leaves the disk when its scores are written."""
+    spark = docs.sparkSession
+    table = spark.read.parquet(model.paths[0]).unionByName(spark.read.parquet(model.paths[1]).drop("seen"), allowMissingColumns=True)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lots = _lots(size, SCORE_LOT_BYTES, SCORE_LOTS)
+    lot_of = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(lots))
+    made = []
+    for lot in range(lots):
+        own = docs.where(lot_of == lot).select("text", *[c for c in keep if c != "text"]).withColumn("_place", F.monotonically_increasing_id())
+        paths = [stored(own, "lot")]
+        rows = spark.read.parquet(paths[0])
+        paths.append(stored(packed_blocks(rows.select(F.col("_place").alias("doc_id"), "text")), "blocks"))
+        blocks = spark.read.parquet(paths[1])
+        asked = per_block(blocks, lambda row: _asked(row, model.shards), ASKED_SCHEMA)
+        replies = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_answered, ASKED_SCHEMA)
+        listed = replies.groupBy("block_id").agg(F.collect_list(F.struct("shard", *ASKED)).alias("replies"))
+        scores = per_block(blocks.join(listed, "block_id"), lambda row: _block_scores(row, model), "_place bigint, n_tokens bigint, perplexity double")
+        made.append(stored(rows.join(scores, "_place").select(*keep, "n_tokens", "perplexity"), "scores"))
+        dropped(spark, *paths)
+    return spark.read.parquet(*made)
 
 
 def _gathered(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +493,23 @@ def _gathered(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: DataFrame, model_rows: int = MODEL_ROWS) -> Model | ShardedModel:
-    """A model of the ``text`` column by count joins: n-grams, continuations, discounts and interpolation are tables.
+    """A model of the ``text`` column by counts of n-grams and continuations, discounts and interpolation.
 
-    Up to ``model_rows`` n-grams it is sent to tasks; a larger one stays a table that scoring joins.
+    Up to ``model_rows`` n-grams its tables are joined and sent to tasks; of a larger one the counts are kept in packed shards.
     """
+    spark = texts.sparkSession
+    path = stored(packed_blocks(texts.select(F.lit(0).alias("doc_id"), "text")), "fitted")
+    blocks = spark.read.parquet(path)
+    count = lambda row: pa.RecordBatch.from_arrays([pa.array([int(_block_grams(row)[1].sum())])], names=["n"])
+    tokens = per_block(blocks, count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # There are at most three n-grams for each token.
+    model = _joined_model(texts) if 3 * tokens <= model_rows else _sharded_model(blocks, tokens)
+    dropped(spark, path)
+    return model
+
+
+def _joined_model(texts: DataFrame) -> Model:
+    """A bounded model by count joins."""
     grams = checkpointed(
         texts.select("text").mapInArrow(_grams, "triple bigint, pair bigint, before2 bigint, word bigint, before1 bigint")
         .groupBy("triple", "pair", "before2", "word", "before1").agg(F.count(F.lit(1)).alias("n")))
@@ -280,22 +523,13 @@ def train(texts: DataFrame, model_rows: int = MODEL_ROWS) -> Model | ShardedMode
     p3, w3 = _level(grams, "before2", p2, "triple", "pair")
     left = w1.first()
     unknown = float(left["chance"]) * floor if left else floor
-    tables = dict(zip(KEY_KINDS, (p1, p2, p3, w2, w3)))
-    rows = grams.count() + pairs.count() + size
-    if rows <= model_rows:
-        return Model({kind: _gathered(table) for kind, table in tables.items()}, unknown)
-    salted = [
-        table.select(F.col("key").cast("bigint").bitwiseXOR(F.lit(int(SALTS[kind].view(np.int64)))).alias("key"), F.col("chance").cast("float"))
-        for kind, table in tables.items()]
-    return ShardedModel(checkpointed(reduce(DataFrame.unionAll, salted)), rows, unknown)
+    return Model({kind: _gathered(table) for kind, table in zip(KEY_KINDS, (p1, p2, p3, w2, w3))}, unknown)
 
 
 def perplexities(docs: DataFrame, model: Model | ShardedModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and each row's ``n_tokens`` and ``perplexity``; with a model in tasks nothing is shuffled."""
+    """The columns ``keep`` and each row's ``n_tokens`` and ``perplexity``; with a model in tasks nothing is shuffled, with a larger one rows are stored."""
     if isinstance(model, ShardedModel):
-        numbered = checkpointed(docs.select("text", *[c for c in keep if c != "text"]).withColumn("_row", F.monotonically_increasing_id()))
-        scores = _sharded_chances(numbered.select(F.col("_row").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "_row")
-        return numbered.join(scores, "_row").select(*keep, "n_tokens", "perplexity")
+        return _sharded_perplexities(docs, model, keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_read"), *keep)
 
@@ -357,11 +591,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     """
     model, chosen = classifier(docs, labels, train_docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    scores = checkpointed(perplexities(rows, model, ["doc_id", "lang"]))
+    scores = perplexities(rows, model, ["doc_id", "lang"])
+    scores = _kept_only(scores, model) if isinstance(model, ShardedModel) else checkpointed(scores)
     per, rest = thresholds(scores, labels, chosen, quantile)
     return accepted(scores, per, rest)
 
 
+def _kept_only(scores: DataFrame, model: ShardedModel) -> DataFrame:
+    """Stored scores, when nothing asks the model any more: its tables leave the disk."""
+    dropped(scores.sparkSession, *model.paths)
+    return scores
+
+
 def accepted(scores: DataFrame, per: DataFrame, rest: float | None) -> DataFrame:
     per = checkpointed(per.select(F.col("lang").alias("_lang"), "threshold"))
     joined = scores.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(
@@ -376,9 +617,14 @@ def quality_decisions(docs: DataFrame, labels: DataFrame, keep: list[str], quant
     """The rows of ``docs`` (``text`` and ``keep``, which has ``doc_id`` and ``lang``) beside their score and decision.
 
     As ``quality_scores``, but texts stay beside their score: the thresholds come from a first pass
-    that writes small rows, a second pass scores again, and no text is shuffled.
+    that writes small rows, a second pass scores again, and no text is shuffled. Only if the model is too large for tasks,
+    one pass writes the texts beside their scores.
     """
     model, chosen = classifier(docs, labels, train_docs)
+    if isinstance(model, ShardedModel):
+        known = _kept_only(perplexities(docs, model, [*keep, "text"]), model)
+        per, rest = thresholds(known.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "lang": F.col("lang").cast("string")}), labels, chosen, quantile)
+        return accepted(known, per, rest)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     scores = checkpointed(perplexities(rows, model, ["doc_id", "lang"]))
     per, rest = thresholds(scores, labels, chosen, quantile)

@@ -462,6 +462,24 @@ def test_perplexity_equals_brute_force_with_models_of_any_size(spark, docs, mode
     assert kneser.perplexities(rows.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_a_large_model_in_lots_gives_the_same_and_is_kept_packed(spark, docs, monkeypatch):
+    """Counting and scoring lot by lot, over more than one shard, against the model in tasks; no more than packed tables is kept."""
+    texts = [r.text for r in docs.orderBy("doc_id").select("text").limit(60).collect()]
+    train = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[30:], *texts[:5], None, "", "Zzz qqq!"])], "doc_id bigint, text string")
+    whole = {r.doc_id: r.perplexity for r in kneser.perplexities(rows, kneser.train(train), ["doc_id"]).collect()}
+    monkeypatch.setattr(kneser, "FIT_LOT_BYTES", 300)
+    monkeypatch.setattr(kneser, "SCORE_LOT_BYTES", 300)
+    model = kneser.train(train, 0)
+    got = {r.doc_id: r.perplexity for r in kneser.perplexities(rows, model, ["doc_id"]).collect()}
+    assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i], rel=1e-4) for i in whole)
+    # A row of five columns and a count took 48 bytes and more for each triple.
+    many = spark.range(50).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(20011)).cast("string"))).alias("text"))
+    model = kneser.train(many, 0)
+    kept = sum(os.path.getsize(f"{at}/{f}") for path in model.paths for at, _, names in os.walk(path.removeprefix("file:")) for f in names)
+    assert model.rows > 700_000 and kept < 20 * model.rows
+
+
 def test_long_trusted_texts_are_fitted_whole(spark):
     # 25 texts of 20,000 words and almost as many distinct triples: above the bound of a model in tasks.
     row = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(30011)).cast("string")))
