@@ -71,6 +71,9 @@ def _triple_keys(before2: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before2 * np.uint64(0xC2B2AE3D27D4EB4F) + word + np.uint64(1))
 
 
+BEGIN_PAIR = _pair_keys(np.array([BEGIN]), np.array([BEGIN]))[0]
+
+
 def _keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the pairs and triples that end at each token (garbage at the first one or two)."""
     pairs = tokens.copy()
@@ -222,6 +225,16 @@ def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest whole numbers that hold them all."""
+    kind = np.min_scalar_type(-int(counts.max(initial=1)) - 1)
+    return kind.char.encode() + pack(counts.astype(kind))
+
+
+def _unpack_counts(data: bytes, planes: int = 1) -> np.ndarray:
+    return unpack(data[1:], np.dtype(data[:1].decode())).reshape(planes, -1)
+
+
 def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *parts])
 
@@ -282,8 +295,8 @@ def _counted(group: pd.DataFrame) -> pd.DataFrame:
     pairs, facts = _facts(ends, continued, *_followed(found[1][2], found[1][1]))
     words, word_facts = _facts(*np.unique(word[at], return_counts=True), *_followed(before1[at], continued))
     return pd.DataFrame({
-        "shard": [group["shard"].iloc[0]], "pairs": [pack_sorted(pairs)], "pair_facts": [pack(facts)], "triples": [pack_sorted(triples)],
-        "counts": [pack(counts)], "words": [pack_sorted(words)], "word_facts": [pack(word_facts)],
+        "shard": [group["shard"].iloc[0]], "pairs": [pack_sorted(pairs)], "pair_facts": [_pack_counts(facts)], "triples": [pack_sorted(triples)],
+        "counts": [_pack_counts(counts)], "words": [pack_sorted(words)], "word_facts": [pack(word_facts)],
         "seen": [[*_histogram(counts), *_histogram(continued), len(triples), len(ends)]]})
 
 
@@ -332,7 +345,7 @@ def _counted_words(tables: DataFrame, shards: int) -> DataFrame:
         for number, some in _dealt(shard[order]):
             own = facts[:, order[some]]
             seen = [*_histogram(own[0]), int((own[0] > 0).sum()), int(own[0].sum())]
-            rows.append((number, pack_sorted(words[order[some]]), pack(own), seen))
+            rows.append((number, pack_sorted(words[order[some]]), _pack_counts(own), seen))
         return pd.DataFrame(rows, columns=["shard", "words", "word_facts", "seen"])
 
     sent = per_block(tables.select("words", "word_facts"), send, "part int, words binary, word_facts binary")
@@ -374,8 +387,9 @@ ASKED_SCHEMA = "shard int, block_id bigint, words binary, pairs binary, triples
 
 def _distinct(grams: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For words, pairs and triples: the distinct keys, their shards, and the order of the keys by shard."""
-    word, before1, pair, before2, triple = grams
-    words, pairs = (_unique(np.concatenate([_unique(a), _unique(b)])) for a, b in ((word, before1), (pair, before2)))
+    word, _, pair, _, triple = grams
+    # What stands before a token is the token before, or the begin of a text.
+    words, pairs = _unique(np.append(word, BEGIN)), _unique(np.append(pair, BEGIN_PAIR))
     order = np.argsort(triple)
     ordered = triple[order]
     first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
@@ -402,18 +416,18 @@ def _answered(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     for kind, values, planes in (("words", "word_facts", FACTS), ("pairs", "pair_facts", FACTS), ("triples", "counts", 1)):
         own = known[known[kind].notna()]
         keys = _joined([unpack_sorted(d) for d in own[kind]])
-        facts = np.concatenate([np.empty((planes, 0), np.int64), *[unpack(d, np.int64).reshape(planes, -1) for d in own[values]]], axis=1)
+        facts = np.concatenate([np.empty((planes, 0), np.int8), *[_unpack_counts(d, planes) for d in own[values]]], axis=1)
         order = np.argsort(keys)
         keys = keys[order]
         replies = []
         for data in asked[kind]:
             wanted = unpack_sorted(data)
-            reply = np.zeros((planes, len(wanted)), np.int64)
+            reply = np.zeros((planes, len(wanted)), facts.dtype)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == wanted)
                 reply[:, hit] = facts[:, order[at[hit]]]
-            replies.append(pack(reply))
+            replies.append(_pack_counts(reply))
         out[kind] = replies
     return pd.DataFrame(out)
 
@@ -436,19 +450,27 @@ def _block_scores(row: dict, model: ShardedModel) -> pa.RecordBatch:
     facts = []
     for kind, planes, (keys, _, order) in zip(ASKED, (FACTS, FACTS, 1), _distinct(grams, model.shards)):
         values = np.empty((planes, len(keys)), np.int64)
-        values[:, order] = np.concatenate([unpack(r[kind], np.int64).reshape(planes, -1) for r in replies], axis=1)
+        values[:, order] = np.concatenate([_unpack_counts(r[kind], planes) for r in replies], axis=1)
         facts.append((keys, values))
     (words, of_words), (pairs, of_pairs), (triples, of_triples) = facts
-    word, before1, pair, before2, triple = grams
+    word, _, pair, _, triple = grams
     d1, d2, d3 = model.discounts
-    one = (_discounted(of_words[0], d1) / max(model.distinct_pairs, 1) + model.unknown)[_places(words, word)]
+    first = np.cumsum(n) - n
+
+    def before(places: np.ndarray, begin: int) -> np.ndarray:
+        out = np.roll(places, 1)
+        out[first] = begin
+        return out
+
+    at_word, at_pair = _places(words, word), _places(pairs, pair)
+    one = (_discounted(of_words[0], d1) / max(model.distinct_pairs, 1) + model.unknown)[at_word]
     worth, weight = _shares(of_words, d2)
-    at = _places(words, before1)
-    two = _discounted(of_pairs[0], d2)[_places(pairs, pair)] * worth[at] + weight[at] * one
+    at = before(at_word, np.searchsorted(words, BEGIN))
+    two = _discounted(of_pairs[0], d2)[at_pair] * worth[at] + weight[at] * one
     worth, weight = _shares(of_pairs, d3)
-    at = _places(pairs, before2)
+    at = before(at_pair, np.searchsorted(pairs, BEGIN_PAIR))
     three = _discounted(of_triples[0], d3)[_places(triples, triple)] * worth[at] + weight[at] * two
-    totals = np.add.reduceat(np.log(three), np.cumsum(n) - n)
+    totals = np.add.reduceat(np.log(three), first)
     return pa.RecordBatch.from_arrays(
         [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.exp(-totals / n))], names=["_place", "n_tokens", "perplexity"])
 
