@@ -53,6 +53,13 @@ def test_rejected_rows_go_and_no_others(spark):
     assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()} == accepted
 
 
+def test_a_model_too_large_for_tasks_decides_alike(spark, monkeypatch):
+    docs, train = spark.read.parquet(f"{SF}/documents.parquet"), kneser.train
+    small = sorted(corpus_pipeline.quality(spark, docs, SF).collect())
+    monkeypatch.setattr(kneser, "train", lambda texts: train(texts, 0))
+    assert sorted(corpus_pipeline.quality(spark, docs, SF).collect()) == small
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=lambda f: f.__name__)
 def test_stages_of_an_empty_table(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
