@@ -15,6 +15,7 @@ MOST = 3  #: a source gives at most this many times its size
 BLOCK_WORDS = 16
 SHARDS = 8
 BROADCAST_SOURCES = 100_000
+REPEATS = 100_000  #: rows of one doc_id and text that may meet their text in one task
 
 
 def _key(source: Column) -> list[Column]:
@@ -182,24 +183,43 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return joined.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("bigint").alias("taken"))
 
 
+def _with_texts(plan: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of the plan with their ``text``, found by ``_id`` and ``_digest``; a text is sent once for all rows of its key."""
+    key = ["_id", "_digest"]
+    once = lambda rows: rows.groupBy(*key).agg(F.first("text").alias("text"))
+    # Rows repeated very often would meet in one task: their few texts are told first, so that a join of two plain tables is left, which Spark can split.
+    often = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > REPEATS)
+    often = F.broadcast(checkpointed(often.select(*key)))
+    if often.isEmpty():
+        return plan.join(once(texts), key)
+    few = checkpointed(once(texts.join(often, key, "left_semi")))
+    return plan.join(often, key, "left_anti").join(once(texts), key).unionByName(plan.join(often, key, "left_semi").join(few, key))
+
+
 def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = 256,
                 shards: int = SHARDS, seed: int = 20) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass over a text, and one for the words in chosen blocks.
 
     ``n_chars`` is counted anew for texts that are cut. Rows of which the mix takes nothing go. Other cases as in ``mix_sources``.
+    Rows are placed without their texts, which are shuffled once, to meet their rows' places by digest.
     """
-    carry = [F.struct(*docs.columns).alias("_row")]
-    plan = _planned(docs, carry, weights, most, block_words, shards, seed)
-    text = F.col("_row.text")
+    others = [c for c in docs.columns if c != "text"]
+    # Equal texts of one doc_id are one text; the doc_id deals the copies of a text over tasks.
+    key = [F.xxhash64("doc_id").alias("_id"), F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("_digest")]
+    plan = _planned(docs, [F.struct(*others).alias("_row"), *key], weights, most, block_words, shards, seed)
+    plan = plan.where("size > 0 and (_passes > 0 or _rest > 0)")
+    mixed = _with_texts(plan, docs.where(F.col("text").rlike(WORD)).select(*key, "text"))
     chosen = F.filter(
         # Each word with the blanks before it, so that lines stay lines.
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BLANKS + WORD), F.lit(0)),
+        F.regexp_extract_all("text", F.lit(BLANKS + WORD), F.lit(0)),
         lambda _, i: _scattered(F.floor((F.col("_start") + i) / block_words).cast("bigint"), F.col("_blocks"), seed) < F.col("_rest"))
-    rest = F.when(F.col("_rest") == F.col("_blocks"), text).when(F.col("_rest") > 0, F.regexp_replace(F.array_join(chosen, ""), "^" + BLANKS, ""))
-    whole = plan.where("size > 0 and _passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes").cast("int"))))
-    cut = plan.where("size > 0 and _rest > 0").withColumn("_text", rest).where("_text <> ''")
-    anew = {"text": F.col("_text")}
+    rest = F.when(F.col("_rest") == F.col("_blocks"), F.col("text")).when(
+        F.col("_rest") > 0, F.regexp_replace(F.array_join(chosen, ""), "^" + BLANKS, ""))
+    # The whole passes, then the cut text: one pass over the rows makes both.
+    taken = mixed.select("_row", "_passes", F.posexplode(F.concat(
+        F.array_repeat("text", F.col("_passes").cast("int")), F.array(rest))).alias("_copy", "_text")).where("_text <> ''")
+    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        anew["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
-    columns = [anew.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
-    return whole.select("_row.*").unionByName(cut.select(*columns))
+        made["n_chars"] = F.when(F.col("_copy") < F.col("_passes"), F.col("_row.n_chars")).otherwise(
+            F.length("_text").cast(dict(docs.dtypes)["n_chars"]))
+    return taken.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

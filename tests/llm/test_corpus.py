@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from diffloom import session
 from diffloom.llm import blocks, components, ctw, decontam, exact, extract, jaccard, kneser, licenses, materialise, mixing, queries, suffix
+from diffloom.operators import ordering
 
 SF = "/root/testdata/sf0.001"
 BLANK_SPLIT = r"[^\x20\x09-\x0D]+"
@@ -340,6 +341,34 @@ def test_mixed_texts_take_what_the_plan_says(docs):
     assert got == {s: n for s, n in taken.items() if n}
 
 
+def test_the_mix_places_rows_without_their_texts(docs, monkeypatch):
+    """Whole texts are not written while rows are placed."""
+    written, keep = [], mixing.checkpointed
+    for module in (mixing, ordering):
+        monkeypatch.setattr(module, "checkpointed", lambda frame: written.append(frame.schema.simpleString()) or keep(frame))
+    got = mixing.mixed_texts(docs, block_words=8)
+    assert len(written) > 3 and all("doc_id" not in names or "text:" not in names for names in written) and got.count() > 0
+
+
+def test_repeated_rows_of_the_mix_keep_their_texts(spark, monkeypatch):
+    """Rows that share a doc_id, a text or both, or have no doc_id, are rows of their own, however often they come."""
+    rows = [(i % 7 if i % 5 else None, " ".join(f"w{i % 11}x{k}" for k in range(i % 9 + 1)), f"s{i % 2}", "en" if i % 3 else None) for i in range(90)]
+    rows += rows[:20] * 6 + [(1, None, "s0", "en"), (2, " \n", "s1", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").coalesce(1)
+    taken = mixing.mix_sources(docs, block_words=4).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).where("n > 0")
+    found = []
+    for repeats in (mixing.REPEATS, 2):
+        monkeypatch.setattr(mixing, "REPEATS", repeats)
+        got = mixing.mixed_texts(docs, block_words=4).collect()
+        found.append(sorted(map(repr, got)))
+        assert all(any(set(r.text.split()) <= set(row[1].split()) for row in rows if row[1] and (row[0], *row[2:]) == (r.doc_id, r.source, r.lang)) for r in got)
+        words = collections.Counter()
+        for r in got:
+            words[r.doc_id, r.source] += len(r.text.split())
+        assert words == {(r.doc_id, r.source): r.n for r in taken.collect()}
+    assert found[0] == found[1]
+
+
 def norm(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
