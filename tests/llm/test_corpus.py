@@ -404,6 +404,27 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == expected
 
 
+def test_decontamination_with_more_seeds_than_tasks_can_hold(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=12 + i % 20))) for i in range(60)] + [(70, "v1 v2 v3"), (71, "v1 v2 v3 v4 v5")]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=30), items[i % 62][1], "end"])) for i in range(80)]
+    # One id for two texts, texts without an id, and a row that comes twice.
+    docs += [(3, items[9][1]), (None, items[10][1]), (None, items[11][1]), docs[0]]
+    rows, benchmark = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    expected = sorted(map(tuple, decontam.contaminated(rows, benchmark).collect()), key=str)
+    assert {(3, 3), (3, 9), (None, 10), (None, 11), (70, 8)} <= {x[:2] for x in expected}
+    # A filter of 64 rows lets most words through, and seeds meet them by shuffle.
+    monkeypatch.setattr(decontam, "SENT_SEEDS", 0)
+    monkeypatch.setattr(decontam, "FILTER_ROWS", 64)
+    sent = []
+    monkeypatch.setattr(decontam, "checkpointed", lambda df: sent.append(df.columns) or session.checkpointed(df))
+    got = sorted(map(tuple, decontam.contaminated(rows, benchmark).collect()), key=str)
+    assert got == expected
+    # What hits pass on are hashes and places, no words.
+    assert sent[-1] == ["doc_id", "text_key", "item", "doc_at"]
+
+
 def test_masks_hit_every_tolerated_pattern():
     for length, changes in ((20, 4), (14, 2), (10, 2)):
         for bad in itertools.combinations(range(length), changes):
