@@ -97,6 +97,25 @@ def test_sets_that_only_share_common_words_are_not_compared(spark):
     check(spark, sets, 80)
 
 
+def test_lots_and_words_beyond_the_ordered_ones_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = [rng.sample([f"w{k}" for k in range(40)], rng.randrange(1, 25)) for _ in range(60)]
+    sets += [s[:-1] for s in sets[:30]] + sets[:10] + [[f"only {i}"] for i in range(5)]
+    asked = []
+    monkeypatch.setattr(ss, "_lots", lambda size, words: asked.append((size, words)) or 3)
+    monkeypatch.setattr(ss, "SENT_IDS", 0)
+    for words in (0, 7):
+        monkeypatch.setattr(ss, "ORDERED_WORDS", words)
+        check(spark, sets, 70)
+    # Both the meetings and the comparisons ask for lots, and more bytes take more of them.
+    assert len(asked) == 4 and all(size > 0 for size, _ in asked)
+
+
+def test_a_lot_is_bounded_by_the_words():
+    assert [ss._lots(size, 10**9) for size in (1, 8 * 10**9, 8 * 10**9 + 1, 80 * 10**9)] == [1, 1, 2, 10]
+    assert ss._lots(ss.LOT_BYTES, 5) == 1
+
+
 def test_entries_meet_their_set_without_their_words(spark):
     members, _ = ss.similar_sets(frame(spark, [["a", "b"], ["ab"], ["a", "b"], ["b", "a"], [], None]), "doc", "words")
     assert {(r.id, r.first_id) for r in members.collect()} == {(0, 0), (1, 1), (2, 0), (3, 0), (4, 4), (5, 4)}
