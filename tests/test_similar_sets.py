@@ -112,7 +112,7 @@ def test_lots_and_words_beyond_the_ordered_ones_change_nothing(spark, monkeypatc
 
 
 def test_a_lot_is_bounded_by_the_words():
-    assert [ss._lots(size, 10**9) for size in (1, 8 * 10**9, 8 * 10**9 + 1, 80 * 10**9)] == [1, 1, 2, 10]
+    assert [ss._lots(size, 10**9) for size in (1, 16 * 10**9, 16 * 10**9 + 1, 160 * 10**9)] == [1, 1, 2, 10]
     assert ss._lots(ss.LOT_BYTES, 5) == 1
 
 
